@@ -2,11 +2,11 @@
 
 A byte goes if a ``LENGTH``-byte string that covers it starts anywhere else.
 
-1. Anchors. Of the ``GRAM``-byte strings in every window of ``LENGTH`` bytes
-   the one with the smallest hash is an anchor. Equal windows have equal
+1. Anchors. Every window of ``LENGTH`` bytes belongs to one anchor: the first of
+   its ``GRAM``-byte strings with the smallest hash. Equal windows have equal
    anchors, so two equal strings meet under their anchor's hash.
-2. Regions. All windows that hold an anchor lie in the bytes around it. Regions
-   that are equal as a whole repeat as a whole; Spark counts them by hash.
+2. Regions. The windows of an anchor make up one region around it. Regions that
+   are equal as a whole repeat as a whole; Spark counts them by hash.
 3. Suffix arrays. Of an anchor whose regions differ, one region of each kind is
    fetched. Their texts, cut where any two begin to differ so that a block is
    one symbol, are concatenated and sorted by linear grouping; a suffix and its
@@ -36,7 +36,7 @@ from cairn.llm.gsaca import lcp_array, suffix_array
 
 LENGTH, GRAM = 200, 32
 #: Kinds of region that one group may hold; symbols that one suffix array is given, about.
-CROWD, SYMBOLS = 4096, 1 << 15
+CROWD, SYMBOLS = 1024, 1 << 15
 CHUNK = 1 << 18
 NONE = np.uint64((1 << 64) - 1)
 KEY = ["doc", "hash"]
@@ -81,8 +81,26 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tup
     return found, value[found]
 
 
+def reach(found: np.ndarray, fp: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int):
+    """First and last start of the windows that belong to each anchor.
+
+    A window that holds an earlier anchor with no larger hash, or a later one
+    with a smaller hash, belongs to that one; where neighbours are larger, any
+    smaller one is out of a window's reach.
+    """
+    first = np.maximum(found - (length - gram), starts[text])
+    last = np.minimum(found, ends[text] - length)
+    if len(found) > 1:
+        near = text[1:] == text[:-1]
+        a = near & (fp[:-1] <= fp[1:])
+        first[1:][a] = np.maximum(first[1:][a], found[:-1][a] + 1)
+        b = near & (fp[1:] < fp[:-1])
+        last[:-1][b] = np.minimum(last[:-1][b], found[1:][b] - (length - gram + 1))
+    return first, last
+
+
 def _anchor_rows(length: int, gram: int):
-    schema = pa.schema([("fp", pa.int64()), ("kind", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("right", pa.int16())])
+    schema = pa.schema([("fp", pa.int64()), ("kind", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("left", pa.int16()), ("right", pa.int16())])
     digest = xxhash.xxh3_64_intdigest
 
     def chunk(docs: list[int], hashes: list[int], texts: list[bytes]):
@@ -91,8 +109,10 @@ def _anchor_rows(length: int, gram: int):
         found, fp = anchors(np.frombuffer(whole, np.uint8), bounds, length, gram)
         text = np.searchsorted(bounds, found, side="right")
         starts = np.r_[0, bounds[:-1]]
-        at = found - starts[text]
-        left, right = np.minimum(at, length - gram), np.minimum(bounds[text] - found, length)
+        first, last = reach(found, fp, text, starts, bounds, length, gram)
+        some = first <= last
+        found, fp, text, first, last = (x[some] for x in (found, fp, text, first, last))
+        at, left, right = found - starts[text], found - first, last + length - found
         # The kind is the region's bytes and where the anchor lies in it.
         kinds = [digest(whole[a:b], x) for a, b, x in zip((found - left).tolist(), (found + right).tolist(), left.tolist())]
         return pa.RecordBatch.from_arrays(
@@ -102,6 +122,7 @@ def _anchor_rows(length: int, gram: int):
                 pa.array(np.array(docs, np.int64)[text]),
                 pa.array(np.array(hashes, np.int64)[text]),
                 pa.array(at.astype(np.int32)),
+                pa.array(left.astype(np.int16)),
                 pa.array(right.astype(np.int16)),
             ],
             schema=schema,
@@ -160,7 +181,9 @@ class Sorter:
         """(row, wanted, bytes before the anchor, bytes from the anchor on), at least two."""
         left, left_cuts = _best([x[2][::-1] for x in group])
         right, right_cuts = _best([x[3] for x in group])
-        cuts = sorted({-c for c in left_cuts} | right_cuts)
+        # Nearer cuts are no end of a match of ``length`` bytes.
+        least_left, least_right = self.length - max(right), self.length - max(left)
+        cuts = sorted({-c for c in left_cuts if c >= least_left} | {c for c in right_cuts if c >= least_right})
         self.groups += 1
         for (row, wanted, before, after), a, b in zip(group, left, right):
             if a + b < self.length:
@@ -179,16 +202,27 @@ class Sorter:
             self.edge.append(edges[-1])
 
     def matches(self):
-        """(row, start, end) of maximal matches of ``length`` bytes or more, relative to the anchor."""
+        """(row, start, end): the union of a row's matches of ``length`` bytes or more.
+
+        Each of them holds the anchor, so the union is one span, relative to it.
+        """
         order = suffix_array(self.symbols)
         lcp = lcp_array(self.symbols, order, end=1)
         lcp.append(0)
+        low, high = [1] * len(self.rows), [0] * len(self.rows)
+        owner, edge, length = self.owner, self.edge, self.length
         for k, i in enumerate(order):
-            own = self.owner[i]
-            if own >= 0 and self.rows[own][1]:
-                n = max(lcp[k], lcp[k + 1])
-                if n and self.edge[i + n] - self.edge[i] >= self.length:
-                    yield self.rows[own][0], self.edge[i], self.edge[i + n]
+            a = edge[i]
+            if a <= 0 and owner[i] >= 0:
+                n = lcp[k] if lcp[k] > lcp[k + 1] else lcp[k + 1]
+                b = edge[i + n]
+                if b - a >= length:
+                    own = owner[i]
+                    low[own] = min(low[own], a)
+                    high[own] = max(high[own], b)
+        for (row, wanted), a, b in zip(self.rows, low, high):
+            if wanted and b:
+                yield row, a, b
 
 
 SPAN = "doc long, hash long, lo int, hi int"
@@ -232,7 +266,7 @@ def find_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: in
         F.xxhash64(text_of()).alias("hash"),
         text_of().cast("binary").alias("data"),
     )
-    schema = "fp long, kind long, doc long, hash long, at int, right short"
+    schema = "fp long, kind long, doc long, hash long, at int, left short, right short"
     long = keyed.filter(F.octet_length("data") >= length).select("doc", "hash", "data")
     points = scratch.keep("anchors", long.mapInArrow(_anchor_rows(length, gram), schema))
     often = (
@@ -244,20 +278,19 @@ def find_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: in
     points = scratch.keep("meeting", points.join(often, "fp"))
     scratch.drop("anchors")
 
-    left = F.least(F.col("at"), F.lit(length - gram))
-    region = [*KEY, (F.col("at") - left).alias("lo"), (F.col("at") + F.col("right")).cast("int").alias("hi")]
+    region = [*KEY, (F.col("at") - F.col("left")).cast("int").alias("lo"), (F.col("at") + F.col("right")).cast("int").alias("hi")]
     whole = points.filter("same").select(*region)
     mixed = points.filter("not same")
     kinds = scratch.keep(
         "kinds",
-        mixed.groupBy("fp", "kind").agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "at")).alias("first")),
+        mixed.groupBy("fp", "kind").agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "at", "left", "right")).alias("first")),
     )
     pairs = mixed.join(kinds.filter("n > 1").select("fp", "kind"), ["fp", "kind"]).select(*region)
 
     size = kinds.groupBy("fp").agg(F.count("*").alias("kinds"))
     asked = (
         kinds.join(size, "fp")
-        .select("first.*", F.struct("fp", "n", "first.at", (F.col("kinds") > crowd).alias("crowded")).alias("ask"))
+        .select("first.doc", "first.hash", F.struct("fp", "n", "first.at", "first.left", "first.right", (F.col("kinds") > crowd).alias("crowded")).alias("ask"))
         .groupBy(*KEY)
         .agg(F.collect_list("ask").alias("asks"))
     )
@@ -269,7 +302,7 @@ def find_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: in
             for doc, h, data, asks in zip(*(b.column(k).to_pylist() for k in range(4))):
                 for x in asks:
                     at = x["at"]
-                    out.append((x["fp"], doc, h, at, x["n"], data[max(0, at - length + gram) : at], data[at : at + length], x["crowded"]))
+                    out.append((x["fp"], doc, h, at, x["n"], data[at - x["left"] : at], data[at : at + x["right"]], x["crowded"]))
             columns = list(zip(*out)) if out else [()] * 8
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["fp", "doc", "hash", "at", "n", "before", "after", "crowded"])
@@ -282,7 +315,7 @@ def find_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: in
     sorted_spans = scratch.keep("sorted", sortable.mapInArrow(_sort_regions(length), SPAN))
 
     def windows(batches):
-        """Every window of a region by its 128-bit hash."""
+        """Every window of a region by its 128-bit hash; a window lies in one region only."""
         for b in batches:
             out = []
             for doc, h, at, before, after in zip(*(b.column(k).to_pylist() for k in range(5))):
@@ -298,7 +331,7 @@ def find_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: in
     parts = [whole, pairs, sorted_spans]
     if crowded.head(1):
         w = crowded.select("doc", "hash", "at", "before", "after").mapInArrow(windows, "w1 long, w2 long, doc long, hash long, lo int")
-        w = scratch.keep("windows", w.distinct())
+        w = scratch.keep("windows", w)
         again = w.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1")
         parts.append(w.join(again, ["w1", "w2"]).select(*KEY, "lo", (F.col("lo") + length).cast("int").alias("hi")))
     spans = parts[0]
