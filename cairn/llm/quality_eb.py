@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from cairn.llm.common import checkpoint, small_batches, text_of, worker_cache
 
-TRAIN, BITS, ROUNDS, RIDGE = 20_000, 16, 100, 1e-4
+TRAIN, BITS, ROUNDS, RIDGE = 6_000, 16, 100, 1e-4
 SHAPES = ("symbols", "distinct", "length", "word_length", "digits", "upper", "marks")
 WIDTH = (1 << BITS) + len(SHAPES)
 TARGETS = ("quality", "toxic")
