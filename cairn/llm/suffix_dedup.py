@@ -11,8 +11,12 @@ A byte goes if a ``LENGTH``-byte string that covers it starts anywhere else.
    fetched. Their texts, cut where any two begin to differ so that a block is
    one symbol, are concatenated and sorted by linear grouping; a suffix and its
    neighbour share a maximal match, and matches of ``LENGTH`` bytes are spans.
-   Anchors with more than ``CROWD`` kinds of region are settled by counting
-   the regions' windows instead, which needs no group in one place.
+4. Crowds. An anchor with more than ``CROWD`` kinds of region is split by the
+   bytes next to it: windows that reach equally far to its left, within one of
+   ``WIDTHS``, can only be equal if what all of them hold is equal. Stretches
+   that are equal as a whole are counted as regions are, and one of each kind
+   goes on, to a suffix array once its group fits, else to the next width. At
+   width 1 a stretch is a window, and equal ones are one kind.
 
 Defined results: a null or empty text has no bytes and keeps none; texts under
 ``LENGTH`` bytes are kept; each repeated row counts as a document; an empty table
@@ -21,6 +25,7 @@ gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
+import struct
 from itertools import groupby
 from operator import itemgetter
 
@@ -37,6 +42,8 @@ from cairn.llm.gsaca import lcp_array, suffix_array
 LENGTH, GRAM = 200, 32
 #: Kinds of region that one group may hold; symbols that one suffix array is given, about.
 CROWD, SYMBOLS = 1024, 1 << 15
+#: Bytes to the anchor's left by which crowds are split, each a multiple of the next.
+WIDTHS = (48, 8, 1)
 CHUNK = 1 << 18
 NONE = np.uint64((1 << 64) - 1)
 KEY = ["doc", "hash"]
@@ -258,6 +265,57 @@ def _sort_regions(length: int):
     return run
 
 
+STRETCH = "fp long, doc long, hash long, at int, before binary, after binary, low int, high int, first int, last int, inner binary, outer binary"
+
+
+def _stretches(length: int, width: int):
+    """A region's windows by the bytes they take left of the anchor, ``low`` to ``high``, in steps of ``width``.
+
+    ``inner`` stands for the bytes that all windows of a step hold, ``outer``
+    for those that any of the region's windows there holds (``first`` to
+    ``last`` bytes to the left).
+    """
+    digest, pack = xxhash.xxh3_128_digest, struct.pack
+    names = [x.split()[0] for x in STRETCH.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), *[pa.int32()] * 4, pa.binary(), pa.binary()]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for fp, doc, h, at, before, after, low, high in zip(*(b.column(k).to_pylist() for k in range(8))):
+                whole, zero = before + after, len(before)
+                least, most = max(low, length - len(after)), min(high, zero + 1)
+                for x in range(low, most, width):
+                    first, last = max(x, least), min(x + width, most) - 1
+                    if first <= last:
+                        inner = digest(pack("<qq", fp, x) + whole[zero - x : zero + max(0, length - x - width + 1)])
+                        outer = digest(pack("<qq", first, last) + whole[zero - last : zero + length - first])
+                        out.append((fp, doc, h, at, before, after, x, min(x + width, high), first, last, inner, outer))
+            columns = list(zip(*out)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    return run
+
+
+def _split_crowds(crowded: DataFrame, width: int, length: int, crowd: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """The spans found at this width, and the rows of groups that are crowded still."""
+    region = ["fp", "doc", "hash", "at", "before", "after", "low", "high"]
+    steps = scratch.keep(f"steps{width}", crowded.select(*region).mapInArrow(_stretches(length, width), STRETCH))
+    key = ["inner", "outer"]
+    # Equal stretches repeat as a whole; one of each kind is left to be held against the others.
+    one = F.min(F.struct("doc", "hash", "at", "fp", "low", "high", "before", "after")).alias("one")
+    kinds = scratch.keep(f"kinds{width}", steps.groupBy(*key).agg(F.count("*").alias("n"), one))
+    equal = steps.join(kinds.filter("n > 1").select(*key), key).select(
+        *KEY, (F.col("at") - F.col("last")).cast("int").alias("lo"), (F.col("at") + length - F.col("first")).cast("int").alias("hi")
+    )
+    size = kinds.groupBy("inner").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    unlike = scratch.keep(f"unlike{width}", kinds.join(size, "inner").select("inner", "kinds", "n", "one.*"))
+    group = ["inner", "doc", "hash", "at", "n", "before", "after"]
+    sortable = unlike.filter(F.col("kinds") <= crowd).select(*group).repartition("inner").sortWithinPartitions("inner")
+    ordered = scratch.keep(f"sorted{width}", sortable.mapInArrow(_sort_regions(length), SPAN))
+    return [equal, ordered], unlike.filter(F.col("kinds") > crowd).select(*region)
+
+
 def find_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """``(doc, hash, spans)``: byte ranges to remove, as (lo, hi), unsorted and overlapping."""
     small_batches(docs.sparkSession)
@@ -314,26 +372,13 @@ def find_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: in
     sortable = regions.filter("not crowded").drop("crowded").repartition("fp").sortWithinPartitions("fp")
     sorted_spans = scratch.keep("sorted", sortable.mapInArrow(_sort_regions(length), SPAN))
 
-    def windows(batches):
-        """Every window of a region by its 128-bit hash; a window lies in one region only."""
-        for b in batches:
-            out = []
-            for doc, h, at, before, after in zip(*(b.column(k).to_pylist() for k in range(5))):
-                whole, lo = before + after, at - len(before)
-                for i in range(len(whole) - length + 1):
-                    x = xxhash.xxh3_128_digest(whole[i : i + length])
-                    out.append((int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True), doc, h, lo + i))
-            columns = list(zip(*out)) if out else [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["w1", "w2", "doc", "hash", "lo"])
-
-    crowded = regions.filter("crowded")
     parts = [whole, pairs, sorted_spans]
-    if crowded.head(1):
-        w = crowded.select("doc", "hash", "at", "before", "after").mapInArrow(windows, "w1 long, w2 long, doc long, hash long, lo int")
-        w = scratch.keep("windows", w)
-        again = w.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1")
-        parts.append(w.join(again, ["w1", "w2"]).select(*KEY, "lo", (F.col("lo") + length).cast("int").alias("hi")))
+    crowded = regions.filter("crowded").withColumns({"low": F.lit(0), "high": F.lit(length - gram + 1)})
+    for width in WIDTHS:
+        if not crowded.head(1):
+            break
+        found, crowded = _split_crowds(crowded, width, length, crowd, scratch)
+        parts += found
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)

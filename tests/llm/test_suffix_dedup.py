@@ -72,3 +72,18 @@ def test_edits_overlaps_and_shared_passages(spark, crowd):
         rows.append((i, text))
     rows += [(1000, "ab" * 300), (1001, "a" * 500), (1002, "abc " * 130 + "x" + "abc " * 10), (1003, rows[0][1]), (1004, "é" * 99)]
     check(spark.createDataFrame(rows, "doc_id long, text string"), 60, 12, crowd)
+
+
+@pytest.mark.parametrize(("length", "gram", "crowd"), [(200, 32, 2), (200, 32, 20), (60, 12, 1)])
+def test_crowds_are_split_until_they_fit(spark, length, gram, crowd):
+    rng = random.Random(crowd)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, edges = text(260), [text(90) for _ in range(5)]
+    rows = []
+    for i in range(240):
+        a, b = rng.randint(0, 60), rng.randint(0, 60)
+        before, after = rng.choice(edges)[a:], rng.choice(edges)[: 90 - b]
+        rows.append((i, text(rng.randint(0, 150)) + before + common[rng.choice([0, 0, 20]) :] + after + text(rng.randint(0, 150))))
+    rows += [(1000 + i, text(120) + common[:190] + text(120)) for i in range(40)]
+    rows += [rows[3], rows[3], (2000, rows[5][1])]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), length, gram, crowd)
