@@ -31,9 +31,11 @@ PAGES, SHARE = 5, 0.5
 BROADCAST_BYTES = 32 << 20
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    # A quote opens a value only after an equals sign, as browsers read it.
+    r"<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*')|[=\"'])*+)>", re.S
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HIDES = re.compile(r"display\s*:\s*none", re.I)
 PART = re.compile(r"[^a-z0-9]+")
 
 #: Element names by what they do.
@@ -57,17 +59,22 @@ WORDS = frozenset(
     "disqus respond pagination pager widget toolbar search complementary contentinfo".split()
 )
 KEEP = frozenset("html body article main".split())
+#: Of the running polynomials: a Mersenne prime, so hashes fit a signed long, and an odd base.
+MODULUS, BASE = (1 << 61) - 1, 0x9E3779B97F4A7C15 % ((1 << 61) - 1)
 
 
 def unwanted(tag: str, attributes: str, inside: bool) -> bool:
     """``inside``: within an article, where a header belongs to it."""
     if tag in DROP or tag == "header" and not inside:
         return True
-    if tag in KEEP or "=" not in attributes:
+    if tag in KEEP - {"article"} or not attributes or attributes.isspace():
         return False
-    if re.search(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none""", attributes, re.I) and tag not in KEEP:
+    found = {m[0].lower(): "".join(m[1:]).lower() for m in ATTRIBUTE.findall(attributes)}
+    if found.get("hidden", "until-found") != "until-found" or HIDES.search(found.get("style", "")):
         return True
-    return any(WORDS.intersection(PART.split("".join(m).lower())) for m in NAMES.findall(attributes))
+    # Of an article only a whole name counts: one comment is often an article of its own.
+    split = str.split if tag == "article" else PART.split
+    return any(WORDS.intersection(split(found.get(name, ""))) for name in ("class", "id", "role"))
 
 
 def events(source: str) -> Iterator[tuple[str, int, int, str, str]]:
@@ -115,6 +122,9 @@ def walk(source: str) -> Iterator[tuple]:
             elif not attributes.endswith("/") or tag in BLOCK:
                 stack.append(tag)
                 yield "open", tag, a, attributes
+        elif kind == "close" and stack and stack[-1] == tag:
+            stack.pop()
+            yield "close", tag, b
         elif kind == "close" and tag in stack:
             k = len(stack) - 1 - stack[::-1].index(tag)
             yield from close(k + 1, a)
@@ -125,38 +135,44 @@ def walk(source: str) -> Iterator[tuple]:
     yield from close(0, len(source))
 
 
-def subtrees(source: str) -> set[int]:
-    """Hashes of the block subtrees outside articles, signed 64 bits."""
-    found, opened, articles = set(), [], 0
+def elements(source: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, hash, within an article) of the block elements.
+
+    An element's hash is the difference of two running polynomials over the
+    events, so a page takes time linear in its markup, however deep it nests.
+    """
+    total, power = [0], [1]
+    opened: list[tuple[int, int, bool]] = []
+    articles = 0
     for event in walk(source):
-        if event[0] == "open":
+        what = event[0]
+        if what == "text":
+            token = " ".join(source[event[1] : event[2]].split())
+            if not token:
+                continue
+        else:
+            token = f"<{what} {' '.join(event[3].split()) if what == 'open' else ''}<{event[1] if len(event) > 1 else ''}"
+        value = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        total.append((total[-1] * BASE + value) % MODULUS)
+        power.append(power[-1] * BASE % MODULUS)
+        if what == "open":
             articles += event[1] in ("article", "main")
-            opened.append((event[2], articles))
-        elif event[0] == "close":
-            start, inside = opened.pop()
+            opened.append((event[2], len(total) - 2, articles > 0))
+        elif what == "close":
+            start, k, inside = opened.pop()
             articles -= event[1] in ("article", "main")
-            if event[1] in BLOCK and event[1] not in KEEP and not inside:
-                found.add(subtree_hash(source[start : event[2]]))
-    return found
+            if event[1] in BLOCK and event[1] not in KEEP:
+                yield start, (total[-1] - total[k] * power[len(total) - 1 - k]) % MODULUS, inside
 
 
-def subtree_hash(markup: str) -> int:
-    value = xxhash.xxh64_intdigest(" ".join(markup.split()).encode("utf-8", "surrogatepass"))
-    return value - (1 << 64) if value >> 63 else value
+def subtrees(source: str) -> set[int]:
+    """Hashes of the block subtrees outside articles."""
+    return {value for _, value, inside in elements(source) if not inside}
 
 
 def extract(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text: blocks joined by an empty line."""
-    gone: set[int] = set()
-    if template:
-        opened = []
-        for event in walk(source):
-            if event[0] == "open":
-                opened.append(event[2])
-            elif event[0] == "close":
-                start = opened.pop()
-                if event[1] in BLOCK and event[1] not in KEEP and subtree_hash(source[start : event[2]]) in template:
-                    gone.add(start)
+    gone = {start for start, value, _ in elements(source) if value in template} if template else set()
     blocks: dict[str, list[str]] = {"article": [], "main": [], "body": []}
     parts: list[str] = []
     state: list[tuple[str, bool, bool]] = []  # root before, dropped before, a block

@@ -18,6 +18,9 @@ from cairn.llm import html_text as H
         ("<script>var t='</p><p>';</script><style>p{}</style><!-- <p>no</p> --><p>yes</p>", "yes"),
         ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a\n\nb\n\nc\n\nd"),
         ("<p title='a>b'>ok</p><div class='side-bar sidebar'>no</div><div id=cookie-notice>no</div>", "ok"),
+        ("<p title=it's>a</p><p id='b'>b</p>", "a\n\nb"),
+        ("<div class='overflow-hidden'><p>a</p></div><div hidden>b</div><div hidden=until-found>c</div>", "a\n\nc"),
+        ("<article class='post comments-open'>a</article><article class='comment'>b</article>", "a"),
         ("<p><b>bold<br><p>next</b> on</p>", "bold\n\nnext on"),
     ],
 )
@@ -56,3 +59,13 @@ def test_odd_pages(spark):
     out = H.main_text(spark.createDataFrame(rows, schema))
     assert sorted((r["page_id"] or 0, r["text"]) for r in out.collect()) == [(0, "deep"), (1, ""), (2, ""), (2, "<")]
     assert H.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_deep_pages_take_linear_time():
+    deep = "<div>" * 50_000 + "x"
+    assert H.extract(deep, {0}) == "x" and len(H.subtrees(deep)) == 50_000
+
+
+def test_equal_subtrees_have_equal_hashes():
+    one, two, three = ([v for _, v, _ in H.elements(s)] for s in ("<div><p>a  b</p></div>", "x <div>\n<p>a b</p></div>", "<div><p>a c</p></div>"))
+    assert one == two and not set(one) & set(three)
