@@ -47,12 +47,16 @@ def _cid_sql(hexed: str, codec: str = "55") -> str:
     return f"('b' || array_to_string(list_transform(range(58), lambda i: substr('{cid.BASE32}', 1 + {value}, 1)), ''))"
 
 
-_DOC_CID = F.coalesce(F.col("text"), F.lit(""))
+def _body() -> Column:
+    """The text of a document; built when asked, as columns need a session."""
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
 _DOCS_SQL = f"(SELECT doc_id, coalesce(text, '') AS text, {_cid_sql('sha256(coalesce(text, chr(0)[1:0]))')} AS cid FROM documents)".replace("chr(0)[1:0]", "''")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", _DOC_CID.alias("text"), cid.cid_of_digest(_digest(_DOC_CID)).alias("cid"))
+    return _t(spark, d, "documents").select("doc_id", _body().alias("text"), cid.cid_of_digest(_digest(_body())).alias("cid"))
 
 
 # Content identifiers
@@ -60,7 +64,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {_cid_sql('h')} AS raw_cid, {_cid_sql('h', '71')} AS object_cid FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)")
 def cid_encode(spark, d):
-    h = _digest(_DOC_CID)
+    h = _digest(_body())
     return _t(spark, d, "documents").select(
         "doc_id", cid.cid_of_digest(h).alias("raw_cid"), cid.cid_of_digest(h, cid.DAG_CBOR).alias("object_cid")
     )
@@ -84,13 +88,13 @@ def cid_valid(spark, d):
 
 @query()
 def blake3_documents(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", blake3.hash_result(_DOC_CID.cast("binary")).alias("h"))
+    docs = _t(spark, d, "documents").select("doc_id", blake3.hash_result(_body().cast("binary")).alias("h"))
     return docs.select("doc_id", "h.hash", F.sha2("h.outboard", 256).alias("outboard_sha256"), "h.size", cid.cid_of_digest(F.col("h.hash")).alias("cid"))
 
 
 @query("SELECT doc_id, CAST(8 + 64 * (greatest(1, ceil(octet_length(encode(coalesce(text, ''))) / 1024.0)) - 1) AS BIGINT) AS outboard_bytes FROM documents")
 def outboard_size(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", blake3.hash_result(_DOC_CID.cast("binary")).alias("h"))
+    docs = _t(spark, d, "documents").select("doc_id", blake3.hash_result(_body().cast("binary")).alias("h"))
     return docs.select("doc_id", F.octet_length("h.outboard").cast("long").alias("outboard_bytes"))
 
 
@@ -421,12 +425,17 @@ def dangling_links(spark, d):
 
 # Paths and URIs
 
-_PATHS = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "^[a-z]+://", "/")
+
+
+def _paths() -> Column:
+    return F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "^[a-z]+://", "/")
+
+
 _PATHS_SQL = "(SELECT page_id, regexp_replace(coalesce(url, ''), '^[a-z]+://', '/') AS p FROM pages)"
 
 
 def _paths(spark, d) -> DataFrame:
-    return _t(spark, d, "pages").select("page_id", _PATHS.alias("p"))
+    return _t(spark, d, "pages").select("page_id", _paths().alias("p"))
 
 
 @query(f"SELECT page_id, CASE WHEN NOT contains(p, '/') THEN NULL WHEN regexp_extract(p, '(?s)^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(p, '(?s)^(.*)/[^/]*$', 1) END AS parent FROM {_PATHS_SQL}")
