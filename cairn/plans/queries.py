@@ -427,7 +427,7 @@ def dangling_links(spark, d):
 
 
 
-def _paths() -> Column:
+def _url_path() -> Column:
     return F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "^[a-z]+://", "/")
 
 
@@ -435,7 +435,7 @@ _PATHS_SQL = "(SELECT page_id, regexp_replace(coalesce(url, ''), '^[a-z]+://', '
 
 
 def _paths(spark, d) -> DataFrame:
-    return _t(spark, d, "pages").select("page_id", _paths().alias("p"))
+    return _t(spark, d, "pages").select("page_id", _url_path().alias("p"))
 
 
 @query(f"SELECT page_id, CASE WHEN NOT contains(p, '/') THEN NULL WHEN regexp_extract(p, '(?s)^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(p, '(?s)^(.*)/[^/]*$', 1) END AS parent FROM {_PATHS_SQL}")
