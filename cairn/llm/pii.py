@@ -7,9 +7,12 @@ Words near an entity are candidate terms; over all documents
 
 count documents: n(e, t) those where t stands near e, n(t) those that hold t
 anywhere. PMI / IC is the share of what is secret about e that t gives away, 1
-for a term that occurs with e alone. Terms of at least ``SUPPORT`` documents are
-generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, where they
-stand near that entity. Texts without an entity are never changed.
+for a term that occurs with e alone. Every pair is scored, from one document up:
+terms are generalised from a share of ``GENERALISE`` on and removed from
+``REMOVE`` on, where they stand near that entity. What chance explains gives
+nothing away: n(e, t) documents fall together by chance with a probability of
+about exp(-n(e, t) PMI), which has to lie below ``CHANCE``; in a handful of
+documents every word is rare. Texts without an entity are never changed.
 
 Positions: a pattern's matches are fenced with U+0001, the text is split there,
 and piece lengths are summed in blocks, so a text with k matches costs O(k).
@@ -21,6 +24,7 @@ an empty result; other columns are left alone.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,7 +47,7 @@ FENCE = "\u0001"
 BLOCK = 64
 
 #: Code points of context on either side of an entity, terms, and thresholds.
-NEAR, SUPPORT, GENERALISE, REMOVE = 160, 3, 0.75, 0.95
+NEAR, GENERALISE, REMOVE, CHANCE = 160, 0.75, 0.95, 0.01
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![.]?[\p{L}\p{N}@_%+-])"
 WORD = r"\p{L}{3,}+"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
@@ -178,12 +182,11 @@ def analyse(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     owners = owners.dropDuplicates(["k", "text_hash"])
     total = max(1, rows.count())
     holds = owners.select("k", "text_hash", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
-    n_entity = holds.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= SUPPORT)
+    n_entity = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
     near = owners.select("k", "text_hash", F.explode("near").alias("x")).select("k", "text_hash", "x.*")
     pairs = (
         near.select("k", "text_hash", "entity", "term").distinct()
         .groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-        .filter(F.col("n_et") >= SUPPORT)
     )
     pairs = scratch.keep("pairs", pairs.join(n_entity, "entity"))
     wanted = pairs.select("term").distinct()
@@ -196,7 +199,7 @@ def analyse(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     disclosing = (
         pairs.join(n_term, "term")
         .withColumn("share", share)
-        .filter(F.col("share") >= GENERALISE)
+        .filter((F.col("share") >= GENERALISE) & (F.col("n_et") * pmi > -math.log(CHANCE)))
         .select("entity", "term", F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised").alias("act"))
     )
     terms = (

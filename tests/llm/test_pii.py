@@ -70,6 +70,17 @@ def test_terms_that_give_an_entity_away(planted):
     assert clean[100] == "Call about item 0 today with the doctor"
 
 
+def test_a_name_beside_an_address_that_occur_once(spark):
+    rows = [(i, f"Call about item number {i} today with the doctor") for i in range(500)]
+    rows += [(900, "Call doctor Zebulon at zeb@clinic.org today"), (901, "Call doctor Melchior at mel@clinic.org today")]
+    rows += [(902, "Call doctor Melchior at mel@clinic.org today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert [out[i]["n_terms"] for i in (0, 900, 901, 902)] == [0, 1, 1, 1]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise_texts(docs).collect()}
+    assert clean[900] == clean[901] == clean[902] == "Call doctor  at [EMAIL] today" and clean[7] == rows[7][1]
+
+
 def test_masking(odd, spark, empty):
     out = pii.sanitise_texts(odd)
     assert out.columns == odd.columns and out.dtypes == odd.dtypes
