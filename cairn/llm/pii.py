@@ -1,19 +1,22 @@
 """Information-theoretic sanitisation of personal data, native columns only.
 
 Base spans come from four patterns. Their matches are the protected entities.
-Words near an entity are candidate terms; over all documents
+The words of a document that holds an entity are candidate terms; over all documents
 
     PMI(e, t) = log(N n(e, t) / (n(e) n(t)))   and   IC(e) = log(N / n(e))
 
-count documents: n(e, t) those where t stands near e, n(t) those that hold t
-anywhere. PMI / IC is the share of what is secret about e that t gives away, 1
+count documents: n(e, t) those that hold both, n(t) those that hold t. PMI / IC is the share of what is secret about e that t gives away, 1
 for a term that occurs with e alone. Every pair is scored, from one document up:
 terms are generalised from a share of ``GENERALISE`` on and removed from
-``REMOVE`` on, where they stand near that entity. What chance explains gives
+``REMOVE`` on, at all their places in the documents that hold that entity. What chance explains gives
 nothing away: n(e, t) documents fall together by chance with a probability of
 about exp(-n(e, t) PMI), which has to lie below ``CHANCE``; in a handful of
 documents every word is rare. Texts without an entity are never changed.
 
+Entities of the same documents have the same counts with every term, so they
+are scored as one class. As n(e, t) is n(e) at most, only terms of up to
+N (n(e) / N) ^ GENERALISE documents can disclose e; no other pair is built.
+
 Positions: a pattern's matches are fenced with U+0001, the text is split there,
 and piece lengths are summed in blocks, so a text with k matches costs O(k).
 
@@ -46,9 +49,9 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 FENCE = "\u0001"
 BLOCK = 64
 
-#: Code points of context on either side of an entity, terms, and thresholds.
-NEAR, GENERALISE, REMOVE, CHANCE = 160, 0.75, 0.95, 0.01
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![.]?[\p{L}\p{N}@_%+-])"
+#: Thresholds, and terms: words that are no part of an address or a longer token.
+GENERALISE, REMOVE, CHANCE = 0.75, 0.95, 0.01
+TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![.]?[\p{L}\p{N}@_%+-]|[.]++[A-Za-z0-9._%+-]*+@)"
 WORD = r"\p{L}{3,}+"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
 
@@ -88,19 +91,12 @@ def _fenced(text: Column, pattern: str) -> Column:
 
 
 def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__pii_spans`` (start, rank, end, entity) and ``__pii_near`` (entity, term, start, end)."""
+    """``docs`` with ``__pii_spans`` (start, rank, end, entity) and, where there are any, ``__pii_words`` (term, start, end)."""
     scan = F.translate(text_of(text), FENCE, "\u0002")
     docs = docs.withColumn("__pii_text", once(scan))
     t = F.col("__pii_text")
     hint = {k: t.contains("@") if k == "email" else t.rlike(HINTS[k]) for k in KINDS}
     docs = docs.withColumns({f"__pii_p_{k}": once(F.when(hint[k], _fenced(t, PATTERNS[k]))) for k in KINDS})
-    docs = docs.withColumns(
-        {
-            f"__pii_l_{k}": once(F.when(F.size(f"__pii_p_{k}") > 1, F.transform(f"__pii_p_{k}", F.length)))
-            for k in KINDS
-        }
-    )
-
     def blocks(lengths: Column) -> Column:
         n = F.floor((F.size(lengths) - 1) / BLOCK).cast("int")
         zero = F.array(F.lit(0).cast("long"))
@@ -110,22 +106,28 @@ def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + _total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))),
         )
 
-    docs = docs.withColumns({f"__pii_b_{k}": once(blocks(F.col(f"__pii_l_{k}"))) for k in KINDS})
+    def measured(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+        """Lengths of the pieces, and where each block of them starts."""
+        lengths = lambda k: F.when(F.size(f"__pii_p_{k}") > 1, F.transform(f"__pii_p_{k}", F.length))
+        docs = docs.withColumns({f"__pii_l_{k}": once(lengths(k)) for k in kinds})
+        return docs.withColumns({f"__pii_b_{k}": once(blocks(F.col(f"__pii_l_{k}"))) for k in kinds})
+
+    def start_of(kind: str, i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        return F.col(f"__pii_b_{kind}")[block] + _total(F.slice(f"__pii_l_{kind}", block * BLOCK + 1, i % BLOCK))
+
+    docs = measured(docs, KINDS)
 
     def found(kind: str) -> Column:
-        pieces, lengths, starts = (F.col(f"__pii_{x}_{kind}") for x in "plb")
+        pieces, lengths = F.col(f"__pii_p_{kind}"), F.col(f"__pii_l_{kind}")
 
         def one(x: Column, i: Column) -> Column:
-            block = F.floor(i / BLOCK).cast("int")
-            start = starts[block] + _total(F.slice(lengths, block * BLOCK + 1, i % BLOCK))
+            start = start_of(kind, i)
             return F.struct(
                 start.alias("start"),
                 F.lit(KINDS.index(kind)).alias("rank"),
                 (start + F.length(x)).alias("end"),
                 _entity(kind, x).alias("entity"),
-                # What lies on either side, NEAR code points at most.
-                F.right(F.get(pieces, i - 1), F.lit(NEAR)).alias("before"),
-                F.left(F.get(pieces, i + 1), F.lit(NEAR)).alias("after"),
             )
 
         indexed = F.transform(pieces, lambda x, i: F.when((i % 2 == 1) & _valid(kind, x), one(x, i)))
@@ -133,79 +135,56 @@ def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
     docs = docs.withColumns({f"__pii_s_{k}": once(found(k)) for k in KINDS})
     full = F.array_sort(F.concat(*(F.col(f"__pii_s_{k}") for k in KINDS)))
-    docs = docs.withColumn("__pii_full", once(full))
-
-    def near(s: Column) -> Column:
-        """Terms on either side: fenced, with their starts."""
-
-        def side(context: Column, at: Column) -> Column:
-            pieces = _fenced(context, TERM)
-            return F.filter(
-                F.transform(
-                    pieces,
-                    lambda x, i: F.struct(
-                        s["entity"].alias("entity"),
-                        F.lower(x).alias("term"),
-                        (at + F.length(F.array_join(F.slice(pieces, F.lit(1), i), ""))).alias("start"),
-                        (at + F.length(F.array_join(F.slice(pieces, F.lit(1), i + 1), ""))).alias("end"),
-                        (i % 2 == 1).alias("match"),
-                        ((i == 1) & (F.length(pieces[0]) == 0) & (F.length(context) == NEAR)).alias("first"),
-                        ((i + 2 == F.size(pieces)) & (F.length(F.get(pieces, i + 1)) == 0) & (F.length(context) == NEAR)).alias("last"),
-                    ),
-                ),
-                lambda x: x["match"],
-            )
+    docs = docs.withColumn("__pii_spans", once(full))
+    docs = docs.withColumn("__pii_p_word", once(F.when(F.size("__pii_spans") > 0, _fenced(t, TERM))))
+    docs = measured(docs, ("word",))
 
-        before = F.filter(side(s["before"], s["start"] - F.length(s["before"])), lambda x: ~x["first"])
-        after = F.filter(side(s["after"], s["end"]), lambda x: ~x["last"])
-        return F.transform(F.concat(before, after), lambda x: F.struct(x["entity"], x["term"], x["start"], x["end"]))
+    def word(x: Column, i: Column) -> Column:
+        start = start_of("word", i)
+        return F.when(i % 2 == 1, F.struct(F.lower(x).alias("term"), start.alias("start"), (start + F.length(x)).alias("end")))
 
-    return docs.withColumns(
-        {
-            "__pii_spans": F.transform("__pii_full", lambda s: F.struct(s["start"], s["rank"], s["end"], s["entity"])),
-            "__pii_near": once(F.flatten(F.transform("__pii_full", near))),
-        }
-    )
+    words = F.filter(F.transform("__pii_p_word", word), lambda s: s.isNotNull())
+    return docs.withColumn("__pii_words", once(F.when(F.col("__pii_l_word").isNotNull(), words)))
 
 
 def analyse(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Small tables: every row's spans, and the term spans of each ``(id, hash)``."""
     key = [F.col("doc_id"), F.xxhash64(text_of()).alias("text_hash")]
-    rows = scratch.keep(
-        "rows",
-        spans_of(docs.select("doc_id", "text")).select(
-            *key, F.col("__pii_spans").alias("spans"), F.col("__pii_near").alias("near")
-        ),
-    )
+    found = spans_of(docs.select("doc_id", "text"))
+    rows = scratch.keep("rows", found.select(*key, F.col("__pii_spans").alias("spans"), F.col("__pii_words").alias("words")))
     id_or = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    owners = rows.filter(F.size("spans") > 0).select(id_or.alias("k"), "text_hash", "spans", "near")
-    owners = owners.dropDuplicates(["k", "text_hash"])
-    total = max(1, rows.count())
+    owners = rows.filter(F.size("spans") > 0).select(id_or.alias("k"), "text_hash", "spans", "words")
+    owners = scratch.keep("owners", owners.dropDuplicates(["k", "text_hash"]))
+    total = float(max(1, rows.count()))
     holds = owners.select("k", "text_hash", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
-    n_entity = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
-    near = owners.select("k", "text_hash", F.explode("near").alias("x")).select("k", "text_hash", "x.*")
-    pairs = (
-        near.select("k", "text_hash", "entity", "term").distinct()
-        .groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    )
-    pairs = scratch.keep("pairs", pairs.join(n_entity, "entity"))
-    wanted = pairs.select("term").distinct()
+    # Entities of the same documents make a class, known by their number and two hashes.
+    both = [F.bit_xor(F.xxhash64(F.lit(seed), "k", "text_hash")).alias(f"h{seed}") for seed in (1, 2)]
+    classes = holds.groupBy("entity").agg(F.count("*").alias("n_e"), *both)
+    holds = holds.join(classes, "entity").select("k", "text_hash", "n_e", "h1", "h2").distinct()
+    most = lambda n_e: total * F.pow(n_e / total, F.lit(GENERALISE)) * (1 + 1e-9)
+    holds = scratch.keep("holds", holds.filter(F.col("n_e") < total))
+    top = holds.agg(F.max(most(F.col("n_e")))).first()[0] or 0.0
+    held = owners.select("k", "text_hash", F.explode(F.array_distinct(F.transform("words", lambda x: x["term"]))).alias("term"))
     words = docs.select(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(WORD), F.lit(0)))).alias("term")
     )
-    n_term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
-    pmi = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    share = F.when(F.col("n_e") < total, pmi / F.log(F.lit(float(total)) / F.col("n_e")))
+    n_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    # A term that the lower case of its whole text writes otherwise has no count but n(e, t).
+    held = held.join(n_term, "term", "left").fillna({"n_t": 1}).filter(F.col("n_t") <= top)
+    pairs = scratch.keep("pairs", held.join(holds, ["k", "text_hash"]).filter(F.col("n_t") <= most(F.col("n_e"))))
+    counts = pairs.groupBy("n_e", "h1", "h2", "term", "n_t").agg(F.count("*").alias("n_et"))
+    pmi = F.log(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    share = pmi / F.log(F.lit(total) / F.col("n_e"))
     disclosing = (
-        pairs.join(n_term, "term")
-        .withColumn("share", share)
+        counts.withColumn("share", share)
         .filter((F.col("share") >= GENERALISE) & (F.col("n_et") * pmi > -math.log(CHANCE)))
-        .select("entity", "term", F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised").alias("act"))
+        .select("n_e", "h1", "h2", "term", F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised").alias("act"))
     )
+    acts = pairs.join(disclosing, ["n_e", "h1", "h2", "term"]).groupBy("k", "text_hash", "term")
+    acts = acts.agg(F.max("act").alias("act"))  # removed outranks generalised
     terms = (
-        near.join(disclosing, ["entity", "term"])
-        .groupBy("k", "text_hash", "start", "end")
-        .agg(F.max("act").alias("act"))  # removed outranks generalised
+        owners.select("k", "text_hash", F.explode("words").alias("x")).select("k", "text_hash", "x.*")
+        .join(acts, ["k", "text_hash", "term"])
         .groupBy("k", "text_hash")
         .agg(F.collect_list(F.struct("start", "end", "act")).alias("terms"))
     )

@@ -81,6 +81,19 @@ def test_a_name_beside_an_address_that_occur_once(spark):
     assert clean[900] == clean[901] == clean[902] == "Call doctor  at [EMAIL] today" and clean[7] == rows[7][1]
 
 
+def test_terms_go_at_all_their_places_in_a_document(spark):
+    far = " about the item today with the doctor" * 20
+    text = f"Zebulon{far} at zeb@clinic.org or zeb..x@clinic.org{far} and ZEBULON again"
+    rows = [(i, f"And again call at or{far} number {i}") for i in range(500)] + [(900, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    last = text.index("ZEBULON")
+    assert f"removed:0:7,{out[900]['base']},removed:{last}:{last + 7}" == out[900]["spans"]
+    assert out[900]["n_terms"] == 2 and out[0]["n_terms"] == 0
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise_texts(docs).collect()}
+    assert clean[900] == f"{far} at [EMAIL] or [EMAIL]{far} and  again"
+
+
 def test_masking(odd, spark, empty):
     out = pii.sanitise_texts(odd)
     assert out.columns == odd.columns and out.dtypes == odd.dtypes
