@@ -1,11 +1,12 @@
 """Main text of web pages: site templates go by counting element subtrees.
 
-Every element subtree outside the article is hashed; Spark counts, per host, on
-how many pages each hash occurs. Subtrees on at least ``PAGES`` pages and
+Every element subtree is hashed; Spark counts, per host, on how many pages each
+hash occurs. Subtrees on at least ``PAGES`` pages and
 ``SHARE`` of the host's pages are the site's template and are deleted. Besides,
 elements whose tag or class names a menu, header, footer, sidebar, notice,
 advert, form, script, style or comment section are dropped. The text is that
-of the articles, else of the main element, else of what is left of the body.
+of the articles if they hold at least ``ROOT`` of what is left of the page, else
+of the main element with its articles by the same rule, else all that is left.
 
 Defined results: a null or empty html gives an empty text; a null url is a host
 of its own; repeated rows count as pages and repeat the result; an empty table
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from cairn.llm.common import Scratch, checkpoint, small_batches
 
-PAGES, SHARE = 5, 0.5
+PAGES, SHARE, ROOT = 5, 0.5, 0.25
 #: The table of templates is broadcast up to this size, else joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -166,14 +167,14 @@ def elements(source: str) -> Iterator[tuple[int, int, bool]]:
 
 
 def subtrees(source: str) -> set[int]:
-    """Hashes of the block subtrees outside articles."""
-    return {value for _, value, inside in elements(source) if not inside}
+    """Hashes of the block subtrees."""
+    return {value for _, value, _ in elements(source)}
 
 
 def extract(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text: blocks joined by an empty line."""
     gone = {start for start, value, _ in elements(source) if value in template} if template else set()
-    blocks: dict[str, list[str]] = {"article": [], "main": [], "body": []}
+    blocks: list[tuple[str, str]] = []
     parts: list[str] = []
     state: list[tuple[str, bool, bool]] = []  # root before, dropped before, a block
     root, dropped = "body", False
@@ -183,7 +184,7 @@ def extract(source: str, template: frozenset[int] | set[int] = frozenset()) -> s
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                blocks[root].append(text)
+                blocks.append((root, text))
 
     for event in walk(source):
         what = event[0]
@@ -204,8 +205,7 @@ def extract(source: str, template: frozenset[int] | set[int] = frozenset()) -> s
                 root = "article"
             elif (tag == "main" or "main" in event[3] and re.search(r"role\s*=\s*[\"']?main\b", event[3])) and not inside:
                 root = "main"
-            # A template is what surrounds articles; inside them nothing is deleted by count.
-            if unwanted(tag, event[3], inside) or event[2] in gone and root == "body":
+            if unwanted(tag, event[3], inside) or event[2] in gone:
                 dropped = True
         else:
             before, was, block = state.pop()
@@ -213,7 +213,12 @@ def extract(source: str, template: frozenset[int] | set[int] = frozenset()) -> s
                 flush()
             root, dropped = before, was
     flush()
-    return "\n\n".join(blocks["article"] or blocks["main"] or blocks["body"])
+    size = sum(len(text) for _, text in blocks)
+    for roots in (("article",), ("main", "article")):
+        found = [text for of, text in blocks if of in roots]
+        if found and sum(map(len, found)) >= ROOT * size:
+            return "\n\n".join(found)
+    return "\n\n".join(text for _, text in blocks)
 
 
 def host_of(url: str = "url"):

@@ -37,6 +37,22 @@ def test_template_subtrees_are_deleted(spark):
     assert out[3] == "page 3 text" and out[100] == "Our site since 1999\n\nother 0" and out[105] == "other 5"
 
 
+def test_template_subtrees_inside_articles_are_deleted(spark):
+    same = "<div><p>Follow us everywhere</p></div>"
+    often = lambda i: "<p>A line of some pages</p>" if i % 4 == 0 else ""
+    rows = [(i, f"http://a.example/{i}", f"<article><p>page {i}</p>{often(i)}{same}</article>") for i in range(40)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<main>{same}<p>page {i}</p></main>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in H.main_text(pages).collect()}
+    assert out[3] == "page 3" and out[4] == "page 4\n\nA line of some pages" and out[105] == "page 5"
+
+
+def test_a_teaser_does_not_hide_the_text():
+    long = "the text of this page goes on " * 20
+    assert H.extract(f"<article>Read on</article><div><p>{long}</p></div>") == f"Read on\n\n{long.strip()}"
+    assert H.extract(f"<main><article>Read on</article><p>{long}</p></main><p>b</p>") == f"Read on\n\n{long.strip()}"
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     out = {r["page_id"]: r["text"] for r in H.main_text(pages).collect()}
