@@ -1,15 +1,17 @@
 """Main text of web pages: site templates go by counting element subtrees.
 
-Every element subtree is hashed; Spark counts, per host, on how many pages each
-hash occurs. Subtrees on at least ``PAGES`` pages and
-``SHARE`` of the host's pages are the site's template and are deleted. Besides,
+Every element subtree is hashed; Spark counts, per host, on how many distinct
+pages each hash occurs. Subtrees on at least ``PAGES`` pages and ``SHARE`` of the
+host's, which leaves room for some fifty layouts, are the site's template and are
+deleted; within articles and main elements, whose paragraphs repeat by
+themselves, only those on ``WITHIN`` of the pages. Besides,
 elements whose tag or class names a menu, header, footer, sidebar, notice,
 advert, form, script, style or comment section are dropped. The text is that
 of the articles if they hold at least ``ROOT`` of what is left of the page, else
 of the main element with its articles by the same rule, else all that is left.
 
 Defined results: a null or empty html gives an empty text; a null url is a host
-of its own; repeated rows count as pages and repeat the result; an empty table
+of its own; equal pages of a host count once and rows repeat the result; an empty table
 gives an empty result; other columns are never read.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from cairn.llm.common import Scratch, checkpoint, small_batches
 
-PAGES, SHARE, ROOT = 5, 0.5, 0.25
+PAGES, SHARE, WITHIN, ROOT = 5, 0.02, 0.5, 0.25
 #: The table of templates is broadcast up to this size, else joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -172,8 +174,15 @@ def subtrees(source: str) -> set[int]:
 
 
 def extract(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text: blocks joined by an empty line."""
-    gone = {start for start, value, _ in elements(source) if value in template} if template else set()
+    """The main text: blocks joined by an empty line.
+
+    ``template``: twice a subtree's hash, and 1 more if it goes within articles too.
+    """
+    gone: dict[int, bool] = {}
+    if template:
+        for start, value, _ in elements(source):
+            if 2 * value in template or 2 * value + 1 in template:
+                gone[start] = 2 * value + 1 in template
     blocks: list[tuple[str, str]] = []
     parts: list[str] = []
     state: list[tuple[str, bool, bool]] = []  # root before, dropped before, a block
@@ -205,7 +214,7 @@ def extract(source: str, template: frozenset[int] | set[int] = frozenset()) -> s
                 root = "article"
             elif (tag == "main" or "main" in event[3] and re.search(r"role\s*=\s*[\"']?main\b", event[3])) and not inside:
                 root = "main"
-            if unwanted(tag, event[3], inside) or event[2] in gone:
+            if unwanted(tag, event[3], inside) or event[2] in gone and (root == "body" or gone[event[2]]):
                 dropped = True
         else:
             before, was, block = state.pop()
@@ -229,15 +238,16 @@ def host_of(url: str = "url"):
 def templates(pages: DataFrame) -> DataFrame:
     """``(host, hashes)``: the subtrees that recur across a host's pages."""
     hashes = F.arrow_udf(lambda col: pa.array([list(subtrees(x or "")) for x in col.to_pylist()], pa.list_(pa.int64())), T.ArrayType(T.LongType()))
-    seen = pages.select(host_of().alias("host"), F.explode(hashes("html")).alias("hash"))
-    total = pages.groupBy(host_of().alias("host")).agg(F.count("*").alias("pages"))
-    often = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES)
+    page = F.xxhash64(F.coalesce("html", F.lit(""))).alias("page")
+    seen = pages.select(host_of().alias("host"), page, F.explode(hashes("html")).alias("hash"))
+    total = pages.groupBy(host_of().alias("host")).agg(F.count_distinct(page).alias("pages"))
+    often = seen.groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= PAGES)
     # At most 1 / SHARE times the subtrees of an average page are left for a host.
     return (
         often.join(total, "host")
         .filter(F.col("n") >= SHARE * F.col("pages"))
         .groupBy("host")
-        .agg(F.collect_list("hash").alias("hashes"))
+        .agg(F.collect_list(F.col("hash") * 2 + (F.col("n") >= WITHIN * F.col("pages")).cast("long")).alias("hashes"))
     )
 
 

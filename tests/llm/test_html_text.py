@@ -47,6 +47,15 @@ def test_template_subtrees_inside_articles_are_deleted(spark):
     assert out[3] == "page 3" and out[4] == "page 4\n\nA line of some pages" and out[105] == "page 5"
 
 
+def test_templates_of_some_layouts_are_deleted(spark):
+    same = "<div><p>Opening hours of the shop</p></div>"
+    rows = [(i, f"http://a.example/{i}", f"<body>{same if i % 5 < 2 else ''}<p>page {i}</p></body>") for i in range(60)]
+    rows += [(100 + i, "http://b.example/", "<p>the same page</p>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in H.main_text(pages).collect()}
+    assert out[5] == "page 5" and out[3] == "page 3" and out[105] == "the same page"
+
+
 def test_a_teaser_does_not_hide_the_text():
     long = "the text of this page goes on " * 20
     assert H.extract(f"<article>Read on</article><div><p>{long}</p></div>") == f"Read on\n\n{long.strip()}"
