@@ -2,10 +2,11 @@
 
 The units are groups of equal texts, weighted by their bytes, so a group stays
 in one shard; a group heavier than ``SPLIT`` of a shard is cut into parts by
-doc_id. Each level of the tree takes, per node, the metadata dimension with the
-widest spread and cuts at the weighted quantile that shares out the node's
-shards. Medians come from radix histograms of 64-bit keys (value, then a hash
-that breaks ties), three rounds of 16 bits each, summed in Spark; the driver
+doc_id. Source and language count by the rank of the whole value among all, and
+every dimension is scaled to its range over all units. Each level of the tree
+takes, per node, the metadata dimension with the widest spread and cuts at the weighted quantile that shares out the node's
+shards. Medians come from radix histograms of 64-bit keys (value, then length and
+a hash that break ties), three rounds of 16 bits each, summed in Spark; the driver
 sees one row a node.
 
 Defined results: a null text has size 1 and the checksum of no bytes; null
@@ -30,10 +31,25 @@ BUCKETS = 1024
 DIMS = ("d_source", "d_lang", "d_length")
 
 
-def _ordinal(col: str) -> Column:
-    """The first three bytes of a string as a number, in the strings' order."""
-    head = F.rpad(F.hex(F.substring(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"), 1, 3)), 6, "0")
-    return F.conv(head, 16, 10).cast("long") / F.lit(float(1 << 24))
+#: The dimensions that are ranks, by their column.
+RANKED = {"d_source": "source", "d_lang": "lang"}
+#: Tables of ranks are broadcast up to this many values, else joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _ranked(units: DataFrame, dim: str) -> DataFrame:
+    """``units`` with the strings of ``dim`` replaced by their rank, from 0 to 1."""
+    values = units.groupBy(dim).agg(F.count("*").alias("n")).select(dim)
+    ranged = checkpoint(values.repartitionByRange(dim).withColumn("p", F.spark_partition_id()))
+    counts = ranged.groupBy("p").agg(F.count("*").alias("n"))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = counts.select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    number = ranged.count()
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("p").orderBy(dim)) - 1
+    ranks = ranged.join(F.broadcast(starts), "p").select(dim, (rank / F.lit(float(max(1, number - 1)))).alias("rank"))
+    if number <= BROADCAST_ROWS:
+        ranks = F.broadcast(ranks)
+    return units.join(ranks, dim).drop(dim).withColumnRenamed("rank", dim)
 
 
 def rows(docs: DataFrame) -> DataFrame:
@@ -44,9 +60,8 @@ def rows(docs: DataFrame) -> DataFrame:
         size.alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
         F.xxhash64(t).alias("text_hash"),
-        _ordinal("source").alias("d_source"),
-        _ordinal("lang").alias("d_lang"),
-        (F.least(F.log2(size.cast("double")), F.lit(48.0)) / 48).alias("d_length"),
+        *(F.coalesce(F.col(col).cast("string"), F.lit("")).alias(dim) for dim, col in RANKED.items()),
+        F.log2(size.cast("double")).alias("d_length"),
     )
 
 
@@ -56,6 +71,12 @@ def _units(base: DataFrame, total: int, shards: int) -> DataFrame:
     whole = base.groupBy("text_hash", "text_crc32").agg(
         F.sum("size").alias("weight"), *(F.min(d).alias(d) for d in DIMS)
     )
+    whole = checkpoint(whole)
+    low, high = whole.agg(F.min("d_length"), F.max("d_length")).first()
+    width = (high - low or 1.0) if high is not None else 1.0
+    whole = whole.withColumn("d_length", (F.col("d_length") - F.lit(low or 0.0)) / F.lit(width))
+    for dim in RANKED:
+        whole = _ranked(whole, dim)
     whole = whole.withColumn("parts", F.ceil(F.col("weight") / most).cast("long"))
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     return (
@@ -66,9 +87,10 @@ def _units(base: DataFrame, total: int, shards: int) -> DataFrame:
 
 
 def _key(dim: Column) -> Column:
-    """A non-negative 48-bit key: 20 bits of the value, then 28 of the tie break."""
+    """A non-negative 48-bit key: 20 bits of the value, 12 of the length, 16 of the tie break."""
     value = F.when(dim >= 1, F.lit((1 << 20) - 1)).otherwise((dim * F.lit(float(1 << 20))).cast("long"))
-    return value * F.lit(1 << 28) + F.shiftright(F.col("tie"), 16)
+    span = F.least((F.col("d_length") * F.lit(float(1 << 12))).cast("long"), F.lit((1 << 12) - 1))
+    return value * F.lit(1 << 28) + span * F.lit(1 << 16) + F.shiftright(F.col("tie"), 28)
 
 
 def _medians(placed: DataFrame, nodes: dict[int, float]) -> dict[int, int]:

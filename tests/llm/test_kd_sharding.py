@@ -42,5 +42,17 @@ def test_odd_rows_and_hot_groups(odd, empty, spark):
     assert max(sizes.values()) < 1.25 * min(sizes.values())
 
 
+def test_documents_of_one_source_come_together(spark):
+    rows = [(i, f"{i:05d} " + "x" * (i * 37 % 400), ("de", "en")[i // 4 % 2], f"src{i % 4}", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out, sizes = check(docs, 8)
+    assert max(sizes.values()) < 1.1 * min(sizes.values())
+    shards = defaultdict(Counter)
+    for r in out:
+        shards[r["doc_id"] % 4, r["doc_id"] // 4 % 2][r["shard"]] += 1
+    # Source and language are cut before the length is, but for ties at the cuts.
+    assert len(shards) == 8 and all(sum(n for _, n in c.most_common(2)) > 0.9 * sum(c.values()) for c in shards.values())
+
+
 def test_no_python_in_the_plan(documents):
     assert "Python" not in K.shard(documents)._jdf.queryExecution().toString()
