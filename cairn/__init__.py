@@ -1 +1,11 @@
-"""Content-addressed analytics expressed as Spark columns, joins and windows."""
+"""Content-addressed analytics on PySpark.
+
+Functions that run on executors travel by value, so executors need no copy of
+this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

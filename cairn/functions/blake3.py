@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.functions.cbor import encode
 from cairn.functions.cid import DAG_CBOR, RAW, cid_of_digest
 
 #: Fixed values of the published specification.
@@ -19,33 +22,36 @@ CHUNK_START, CHUNK_END, PARENT, ROOT = 1, 2, 4, 8
 WAVE = 1 << 13
 
 
-def _rotate(x: np.ndarray, n: int) -> np.ndarray:
-    return (x >> np.uint32(n)) | (x << np.uint32(32 - n))
+def _turn(x: np.ndarray, n: int) -> None:
+    """Rotates to the right in place."""
+    low = x >> np.uint32(n)
+    x <<= np.uint32(32 - n)
+    x |= low
 
 
 def _compress(cv: np.ndarray, m: np.ndarray, counter: np.ndarray, length: np.ndarray, flags: np.ndarray) -> np.ndarray:
     """New chaining values; all arguments are columns: (8, n), (16, n), (n,), (n,), (n,)."""
     n = cv.shape[1]
-    v = np.empty((16, n), np.uint32)
-    v[:8] = cv
-    v[8:12] = np.array(IV[:4], np.uint32)[:, None]
-    v[12], v[13] = counter & np.uint64(0xFFFFFFFF), counter >> np.uint64(32)
-    v[14], v[15] = length, flags
-    rows = np.arange(4)
-    for r in range(7):
-        for shift, x, y in ((0, m[0:8:2], m[1:8:2]), (1, m[8:16:2], m[9:16:2])):
-            b, c, d = 4 + (rows + shift) % 4, 8 + (rows + 2 * shift) % 4, 12 + (rows + 3 * shift) % 4
-            v[:4] += v[b] + x
-            v[d] = _rotate(v[d] ^ v[:4], 16)
-            v[c] += v[d]
-            v[b] = _rotate(v[b] ^ v[c], 12)
-            v[:4] += v[b] + y
-            v[d] = _rotate(v[d] ^ v[:4], 8)
-            v[c] += v[d]
-            v[b] = _rotate(v[b] ^ v[c], 7)
-        if r < 6:
-            m = m[PERMUTATION]
-    return v[:8] ^ v[8:]
+    a, b = cv[:4].copy(), cv[4:].copy()
+    c = np.repeat(np.array(IV[:4], np.uint32)[:, None], n, axis=1)
+    d = np.empty((4, n), np.uint32)
+    d[0], d[1], d[2], d[3] = counter & np.uint64(0xFFFFFFFF), counter >> np.uint64(32), length, flags
+    order = np.arange(16)
+    for _ in range(7):
+        for first in (0, 8):
+            for at, p, q in ((0, 16, 12), (1, 8, 7)):
+                a += b
+                a += m[order[first + at : first + 8 : 2]]
+                d ^= a
+                _turn(d, p)
+                c += d
+                b ^= c
+                _turn(b, q)
+            # The second half of a round works on diagonals.
+            s = -1 if first == 0 else 1
+            b, c, d = np.roll(b, s, 0), np.roll(c, 2, 0), np.roll(d, -s, 0)
+        order = order[PERMUTATION]
+    return np.concatenate([a ^ c, b ^ d])
 
 
 def _chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,3 +172,16 @@ def blob_cid(content: Column) -> Column:
 
 def object_cid(encoded: Column) -> Column:
     return cid_of_digest(blake3(encoded), DAG_CBOR)
+
+
+CODED = T.StructType([T.StructField("bytes", T.BinaryType()), T.StructField("hash", T.StringType())])
+
+
+def coded_objects(text: Column) -> Column:
+    """``struct(bytes, hash)`` of objects given as JSON: canonical bytes and their digest, in one pass."""
+
+    def run(col: pa.Array) -> pa.Array:
+        coded = pa.array([None if x is None else encode(json.loads(x)) for x in col.to_pylist()], pa.binary())
+        return pa.StructArray.from_arrays([coded, _digests(coded)], ["bytes", "hash"])
+
+    return F.arrow_udf(run, CODED)(text)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 import struct
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -50,6 +51,20 @@ def _head(kind: int, n: int) -> bytes:
     raise OverflowError(n)
 
 
+#: Keys seen before, up to ``KEYS_HELD``: their place in the order and their bytes.
+KEYS: dict[str, tuple[tuple[int, bytes], bytes]] = {}
+KEYS_HELD = 4096
+
+
+def _key(key: str) -> tuple[tuple[int, bytes], bytes]:
+    found = KEYS.get(key)
+    if found is None:
+        found = key_order(key), encode(key)
+        if len(KEYS) < KEYS_HELD:
+            KEYS[key] = found
+    return found
+
+
 def encode(value) -> bytes:
     if value is None:
         return b"\xf6"
@@ -60,8 +75,8 @@ def encode(value) -> bytes:
     if isinstance(value, (bytes, bytearray)):
         return _head(2, len(value)) + bytes(value)
     if isinstance(value, dict):
-        items = sorted(((str(k), v) for k, v in value.items()), key=lambda x: key_order(x[0]))
-        return _head(5, len(items)) + b"".join(encode(k) + encode(v) for k, v in items)
+        items = sorted(((*_key(str(k)), v) for k, v in value.items()), key=itemgetter(0))
+        return _head(5, len(items)) + b"".join(k + encode(v) for _, k, v in items)
     if isinstance(value, list):
         return _head(4, len(value)) + b"".join(map(encode, value))
     data = (float_text(value) if isinstance(value, float) else str(value)).encode()

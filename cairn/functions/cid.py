@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the identifier's header.
 VERSION, RAW, DAG_CBOR, BLAKE3, DIGEST_BYTES = 0x01, 0x55, 0x71, 0x1E, 32
@@ -45,13 +49,63 @@ def cid_is_canonical(cid: Column) -> Column:
 
 
 def cid_decode(cid: Column) -> Column:
-    """``struct(version, codec, hash_type, hash)`` of a 59-character identifier, else null."""
-    text = _hex(cid)
-    byte = lambda i: F.conv(F.substring(text, 2 * i + 1, 2), 16, 10).cast("long")
-    parts = F.struct(
-        byte(0).alias("version"), byte(1).alias("codec"), byte(2).alias("hash_type"), F.substring(text, 9, 64).alias("hash")
-    )
-    return F.when(cid_is_valid(cid) & (F.length(cid) == 59), parts)
+    """``struct(version, codec, hash_type, hash)`` of a 59-character identifier, else null.
+
+    The header's four numbers take a byte each; ``cid_decode_any`` reads any header.
+    """
+
+    def parts(text: Column) -> Column:
+        byte = lambda i: F.conv(F.substring(text, 2 * i + 1, 2), 16, 10).cast("long")
+        return F.struct(
+            byte(0).alias("version"), byte(1).alias("codec"), byte(2).alias("hash_type"), F.substring(text, 9, 64).alias("hash")
+        )
+
+    # Bound by a lambda, the digits are worked out once, not once a field.
+    return F.when(cid_is_valid(cid) & (F.length(cid) == 59), F.transform(F.array(_hex(cid)), parts)[0])
+
+
+PARTS = T.StructType([T.StructField(k, T.LongType()) for k in ("version", "codec", "hash_type")] + [T.StructField("hash", T.StringType())])
+
+
+def cid_decode_any(cid: Column) -> Column:
+    """The parts of an identifier with any header; null where ``decode`` fails."""
+
+    def one(text: str | None) -> dict | None:
+        try:
+            return None if text is None else decode(text)
+        except ValueError:
+            return None
+
+    kind = pa.struct([(f.name, pa.string() if f.name == "hash" else pa.int64()) for f in PARTS])
+    return F.arrow_udf(lambda col: pa.array(map(one, col.to_pylist()), kind), PARTS)(cid)
+
+
+def encode(digest: bytes, codec: int = RAW, hash_type: int = BLAKE3) -> str:
+    """The identifier of a digest, header and all, as Python text."""
+    data = b"".join(map(varint, (VERSION, codec, hash_type, len(digest)))) + digest
+    return "b" + base64.b32encode(data).decode().lower().rstrip("=")
+
+
+def decode(text: str) -> dict:
+    """Parts of an identifier: letters of either case; a digest that is cut short is filled with zeros.
+
+    ``ValueError`` for a missing prefix, other letters or a header that ends early.
+    """
+    if len(text) < 2 or text[0] != "b":
+        raise ValueError(f"not an identifier: {text!r}")
+    body = text[1:].upper()
+    # Lengths that no whole number of bytes gives lose their last letter.
+    body = body[: len(body) - (len(body) % 8 in (1, 3, 6))]
+    data, at, parts = base64.b32decode(body + "=" * (-len(body) % 8)), 0, []
+    for _ in range(4):
+        try:
+            value, at = read_varint(data, at)
+        except EOFError as e:
+            raise ValueError(f"not an identifier: {text!r}") from e
+        parts.append(value)
+    size = min(parts[3], 1 << 16)
+    digest = data[at : at + size].ljust(size, b"\0")
+    return {"version": parts[0], "codec": parts[1], "hash_type": parts[2], "hash": digest.hex()}
 
 
 def varint(value: int) -> bytes:

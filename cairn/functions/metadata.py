@@ -46,21 +46,28 @@ def without_nulls(entries: dict[str, Column]) -> Column:
     return F.map_filter(made, lambda _, v: v.isNotNull())
 
 
-def workflow_metadata(script: Column, project: Column, version: Column, repository: Column, home: Column, revision: Column, commit: Column) -> Column:
+def workflow_metadata(
+    script: Column, project: Column, version: Column, repository: Column, home: Column, revision: Column, commit: Column,
+    container_engine: Column | None = None, command_line: Column | None = None,
+) -> Column:
+    none = F.lit(None).cast("string")
     return without_nulls(
         {
             "name": _given(script, project, F.lit("unknown")),
             "version": _given(version, F.lit("unknown")),
             "repository": _given(repository, home),
             "revision": _given(revision, commit),
+            "container_engine": _given(none if container_engine is None else container_engine),
+            "command_line": _given(none if command_line is None else command_line),
         }
     )
 
 
 def execution_metadata(success: Column, exit_code: Column, started: Column, completed: Column, millis: Column, **more: Column) -> Column:
-    """Status, exit code (0 if unknown), whole seconds (none for zero), resume (false if unknown)."""
+    """Status, exit code (0 if unknown), whole seconds (none for zero), resume (false if unknown) and engine version (``unknown``)."""
     return without_nulls(
         {
+            "nextflow_version": _given(more.pop("nextflow_version", F.lit(None).cast("string")), F.lit("unknown")),
             "started_at": started,
             "completed_at": completed,
             "duration_seconds": F.nullif((millis / 1000).cast("long"), F.lit(0).cast("long")),
@@ -72,9 +79,18 @@ def execution_metadata(success: Column, exit_code: Column, started: Column, comp
     )
 
 
-def process_metadata(task: dict[str, Column]) -> Column:
-    known = {k: task.get(k, F.lit(None).cast("string")) for k in PROCESS_KEYS}
-    known["attempt"] = F.coalesce(known["attempt"], F.lit(1))
+def process_metadata(task: dict[str, Column] | None) -> Column:
+    """The known keys of a task that hold something; no task gives an empty map.
+
+    The process is named after the task if need be, and ``attempt`` counts from 1.
+    """
+    if task is None:
+        return F.create_map().cast("map<string,string>")
+    known = {k: task.get(k, F.lit(None)).cast("string") for k in PROCESS_KEYS}
+    known["process_name"] = _given(known["process_name"], known["task_name"], F.lit("unknown"))
+    known["container"] = _given(known["container"])
+    known["cpus"] = F.nullif(_given(known["cpus"]), F.lit("0"))
+    known["attempt"] = F.coalesce(F.nullif(known["attempt"], F.lit("0")), F.lit("1"))
     return without_nulls(known)
 
 

@@ -30,9 +30,9 @@ def parent(path: Column) -> Column:
 
 
 def names(path: Column) -> Column:
-    """The parts between one leading and one trailing separator."""
-    inner = F.regexp_replace(F.regexp_replace(path, "^/", ""), "/$", "")
-    return F.when((path == "") | (path == "/"), F.array().cast("array<string>")).otherwise(F.split(inner, "/"))
+    """The parts after one leading separator; empty parts count, but for those at the end."""
+    inner = F.regexp_replace(F.regexp_replace(path, "^/", ""), "/+$", "")
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, "/"))
 
 
 def name_count(path: Column) -> Column:
@@ -40,7 +40,10 @@ def name_count(path: Column) -> Column:
 
 
 def name(path: Column, index: int) -> Column:
-    return F.element_at(names(path), index + 1) if index >= 0 else F.raise_error(F.lit("negative index"))
+    """Part ``index`` from 0; an error outside the path."""
+    if index < 0:
+        raise ValueError("index")
+    return F.when(name_count(path) > index, F.get(names(path), index)).otherwise(F.raise_error(F.lit("index is out of range")).cast("string"))
 
 
 def subpath(path: Column, begin: int, end: int) -> Column:
@@ -78,14 +81,13 @@ def normalize(path: Column) -> Column:
 
 
 def resolve(path: Column, other: Column, keep_root: bool = True) -> Column:
-    """``other`` under ``path``. ``keep_root=False``: a base of ``/`` gives ``other`` alone."""
+    """``other`` under ``path``, joined as they are. ``keep_root=False``: a base of ``/`` gives ``other`` alone."""
     at_root = F.concat(F.lit("/"), other) if keep_root else other
     return (
         F.when(is_absolute(other), other)
-        .when(other == "", path)
         .when(path == "", other)
         .when(path == "/", at_root)
-        .otherwise(F.concat(F.regexp_replace(path, "/$", ""), F.lit("/"), other))
+        .otherwise(F.concat(path, F.lit("/"), other))
     )
 
 
@@ -93,12 +95,14 @@ def resolve_sibling(path: Column, other: Column) -> Column:
     return F.when(parent(path).isNull(), other).otherwise(resolve(parent(path), other))
 
 
-def relativize(path: Column, other: Column) -> Column:
-    """What is left of ``other`` after the string prefix ``path``; null if it is none."""
+def relativize(path: Column, other: Column, strict: bool = True) -> Column:
+    """What is left of ``other`` after the string prefix ``path``; if it is none an error, or null unless ``strict``."""
     rest = F.substring(other, F.length(path) + 1, F.length(other))
-    return F.when(
-        (is_absolute(path) == is_absolute(other)) & other.startswith(path), F.regexp_replace(rest, "^/", "")
-    )
+    found = F.when((is_absolute(path) == is_absolute(other)) & other.startswith(path), F.regexp_replace(rest, "^/", ""))
+    if not strict:
+        return found
+    known = path.isNotNull() & other.isNotNull()
+    return F.when(known & found.isNull(), F.raise_error(F.lit("no common base")).cast("string")).otherwise(found)
 
 
 def to_uri(path: Column, scheme: str = "file") -> Column:

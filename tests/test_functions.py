@@ -77,6 +77,20 @@ def test_cids(spark):
     assert tuple(rows[0]["d"]) == (1, 0x55, 0x1E, EMPTY) and tuple(rows[6]["d"]) == (1, 0x55, 0x1E, EMPTY)
 
 
+def test_decode_reads_any_header(spark):
+    wide = cid.encode(b"\1" * 20, codec=0x1234, hash_type=0x300)
+    assert cid.decode(wide) == {"version": 1, "codec": 0x1234, "hash_type": 0x300, "hash": "01" * 20}
+    assert cid.decode(cid.encode(bytes.fromhex(EMPTY))) == {"version": 1, "codec": 0x55, "hash_type": 0x1E, "hash": EMPTY}
+    assert cid.encode(bytes.fromhex(EMPTY)) == RAW_CID and cid.decode(RAW_CID[:40])["hash"].endswith("00")
+    for bad in ("", "b", "zabc", "b0189", "bae"):
+        with pytest.raises(ValueError):
+            cid.decode(bad)
+    df = spark.createDataFrame([(wide,), ("zabc",), (None,)], "c string")
+    assert [r[0] and r[0]["codec"] for r in df.select(cid.cid_decode_any(F.col("c"))).collect()] == [0x1234, None, None]
+    raw = df.limit(1).select(cid.cid_of_bytes(F.unhex(F.lit(EMPTY)))).first()[0]
+    assert raw == RAW_CID
+
+
 def test_varints():
     for n in (0, 1, 127, 128, 300, 1 << 40):
         assert cid.read_varint(cid.varint(n) + b"x") == (n, len(cid.varint(n)))
@@ -116,18 +130,38 @@ def test_paths(spark):
 
     assert of(paths.file_name, "", "/", "/a", "a", "a/b/", "/a/b") == [None, None, "a", "a", "", "b"]
     assert of(paths.parent, "", "/", "/a", "a", "a/b", "a/b/") == [None, "/", "/", None, "a", "a/b"]
-    assert of(paths.name_count, "/", "", "/a//b/", "a") == [0, 0, 3, 1]
+    assert of(paths.name_count, "/", "", "/a//b/", "a", "/a//", "//", "///", "//a") == [0, 0, 3, 1, 1, 0, 0, 2]
+    assert of(lambda p: paths.name(p, 0), "/a/b", "c") == ["a", "c"]
+    assert of(lambda p: paths.subpath(p, 1, 3), "/a/b/c") == ["b/c"]
+    for bad in (lambda p: paths.name(p, 2), lambda p: paths.subpath(p, 1, 3), lambda p: paths.relativize(F.lit("/x"), p)):
+        with pytest.raises(Exception, match="range|base"):
+            of(bad, "/a/b")
     assert of(paths.normalize, "/a/./b/../c", "../a", "/../a//b", "a/..") == ["/a/c", "a", "/a/b", ""]
-    assert of(lambda p: paths.resolve(p, F.lit("x")), "/", "", "/a", "a/") == ["/x", "x", "/a/x", "a/x"]
+    assert of(lambda p: paths.resolve(p, F.lit("x")), "/", "", "/a", "a/") == ["/x", "x", "/a/x", "a//x"]
+    assert of(lambda p: paths.resolve(p, F.lit("")), "/a", "") == ["/a/", ""]
     assert of(lambda p: paths.resolve(p, F.lit("x"), keep_root=False), "/") == ["x"]
     assert of(lambda p: paths.starts_with(p, F.lit("/a")), "/ab", "/a/b") == [True, True]
     assert of(lambda p: paths.starts_with(p, F.lit("/a"), parts=True), "/ab", "/a/b", "/a") == [False, True, True]
-    assert of(lambda p: paths.relativize(F.lit("/a"), p), "/a/b", "/c", "a") == ["b", None, None]
+    assert of(lambda p: paths.relativize(F.lit("/a"), p, strict=False), "/a/b", "/c", "a") == ["b", None, None]
     uris = of(paths.parse_store_uri, "blocks:/x", "blocks+file:///x", "blocks+s3://b:9000/p?q", "file:///x")
     assert [u and tuple(u) for u in uris] == [("file", None, "-1", "/x"), ("file", None, "-1", "/x"), ("s3", "b", "9000", "/p"), None]
     assert of(paths.underlying_uri, "blocks+s3://b:9000/p?q#f", "blocks+file:///x") == ["s3://b:9000/p", "file:///x"]
 
 
+def test_metadata_fallbacks(spark):
+    none = F.lit(None).cast("string")
+    row = spark.range(1).select(
+        metadata.process_metadata(None).alias("no"), metadata.process_metadata({}).alias("bare"),
+        metadata.process_metadata({"task_name": F.lit("t"), "cpus": F.lit(0), "attempt": F.lit(3)}).alias("task"),
+        metadata.workflow_metadata(F.lit(""), none, none, none, none, none, none, F.lit("docker"), F.lit("")).alias("flow"),
+        metadata.execution_metadata(F.lit(False), F.lit(2), none, none, F.lit(999)).alias("run"),
+    ).first()
+    assert row["no"] == {} and row["bare"] == {"process_name": "unknown", "attempt": "1"}
+    assert row["task"] == {"process_name": "t", "task_name": "t", "attempt": "3"}
+    assert row["flow"] == {"name": "unknown", "version": "unknown", "container_engine": "docker"}
+    assert row["run"] == {"nextflow_version": "unknown", "status": "failed", "exit_code": "2", "resume": "false"}
+
+
 def test_file_types(spark):
     names = ["A.BAM", "x.fq.gz", "x.vcf.gz", "x.csv.gz", "x.txt", "none"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
