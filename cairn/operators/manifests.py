@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.functions import blake3, cbor
+from cairn.functions import blake3
+from cairn.functions.cid import DAG_CBOR, cid_of_digest
 
 #: Object types and the digest's name in stored objects.
 OUTPUT_TYPE, RUN_TYPE, DIGEST = "NextflowOutputFile", "NextflowRun", "blake3"
@@ -99,18 +100,75 @@ def with_parent(runs: DataFrame) -> DataFrame:
 
 def encode_objects(objects: DataFrame, column: str = "json") -> DataFrame:
     """``objects`` with their canonical bytes and cid."""
-    coded = objects.withColumn("bytes", cbor.encode_json(F.col(column)))
-    return coded.withColumn("cid", blake3.object_cid(F.col("bytes")))
+    coded = objects.withColumn("__coded", blake3.coded_objects(F.col(column)))
+    return coded.withColumns({"bytes": F.col("__coded.bytes"), "cid": cid_of_digest(F.col("__coded.hash"), DAG_CBOR)}).drop("__coded")
+
+
+def _member(name: str, value: Column) -> Column:
+    """``"name":value``, null values written out."""
+    text = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"})
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def _held(value: Column, kind: T.DataType) -> Column:
+    """Whether an optional value is written: numbers if not null, all else if not empty."""
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.size(value) > 0
+    return value != "" if isinstance(kind, T.StringType) else value.isNotNull()
+
+
+def object_json(fields: dict[str, tuple[Column, T.DataType]], core: tuple[str, ...], more: tuple[str, ...], fixed: dict[str, str] | None = None, nested: dict[str, Column] | None = None) -> Column:
+    """The JSON of an object from columns: core keys always, optional keys where they hold something.
+
+    ``fixed``: keys with a value of their own; ``nested``: JSON texts, null where absent.
+    """
+    fixed, nested, parts = fixed or {}, nested or {}, []
+    for key in (*core, *more):
+        if key in nested:
+            text = F.concat(F.lit(f'"{key}":'), nested[key])
+            parts.append(text if key in more else F.coalesce(text, F.lit(f'"{key}":null')))
+        elif key in fixed:
+            parts.append(_member(key, F.lit(fixed[key])))
+        elif key in fields:
+            value, kind = fields[key]
+            parts.append(_member(key, value) if key in core else F.when(_held(value, kind), _member(key, value)))
+        elif key in core:
+            parts.append(F.lit(f'"{key}":null'))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _fields(df: DataFrame, within: str | None = None) -> dict[str, tuple[Column, T.DataType]]:
+    """The columns of a frame, or the fields of one of its structs, with their types."""
+    if within is None:
+        return {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in df.schema}
+    return {f.name: (F.col(within)[f.name], f.dataType) for f in df.schema[within].dataType}
 
 
 def run_json(runs: DataFrame) -> DataFrame:
-    """``run_id, json`` of run manifests from columns; optional parts that are empty are left out."""
-    entry = F.struct(
-        F.lit(RUN_TYPE).alias("@type"), "run_id", "timestamp", "project", "user", "workflow",
-        F.when(F.size("outputs") > 0, F.col("outputs")).alias("outputs"), link(F.col("parent")).alias("parent"), "execution",
-    )
-    core = F.to_json(entry, {"ignoreNullFields": "true"})
-    return runs.select("run_id", core.alias("json"))
+    """``run_id, json`` of run manifests from columns.
+
+    Columns and fields of the structs ``workflow`` and ``execution`` go by the
+    objects' keys; any may be absent. ``parent`` and ``parameters`` are
+    identifiers. Core keys are written even where they are null.
+    """
+    nested = {}
+    for key, core, more in (("workflow", WORKFLOW_CORE, WORKFLOW_MORE), ("execution", EXECUTION_CORE, EXECUTION_MORE)):
+        if key in runs.columns:
+            nested[key] = F.when(F.col(key).isNotNull(), object_json(_fields(runs, key), core, more))
+    fields = _fields(runs)
+    for key in ("parent", "parameters"):
+        if key in fields:
+            fields[key] = link(F.col(key)), LINK
+    return runs.select("run_id", object_json(fields, RUN_CORE, RUN_MORE, {"@type": RUN_TYPE}, nested).alias("json"))
+
+
+def output_json(outputs: DataFrame) -> Column:
+    """The JSON of output metadata; ``data_blob`` and ``produced_by_run`` are identifiers."""
+    fields = _fields(outputs)
+    for key in ("data_blob", "produced_by_run"):
+        if key in fields:
+            fields[key] = link(F.col(key)), LINK
+    return object_json(fields, OUTPUT_CORE, OUTPUT_MORE, {"@type": OUTPUT_TYPE, "data_hash_algorithm": DIGEST})
 
 
 def dereference(refs: DataFrame, manifests: DataFrame, outputs: DataFrame, blobs: DataFrame) -> DataFrame:

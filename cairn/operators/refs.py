@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.sources.shared import checkpoint
+
 
 def ref_path(path: Column) -> Column:
     """Without one leading separator; an error for a path that climbs."""
@@ -40,13 +42,17 @@ def with_previous(log: DataFrame) -> DataFrame:
     return log.withColumn("previous", F.lag(F.when(F.col("op") == "put", F.col("cid"))).over(by))
 
 
-def update(log: DataFrame, new: DataFrame) -> DataFrame:
-    """``new(ref_path, cid)`` as log rows in the order of its ``position``, after all of ``log``."""
-    base = F.coalesce(F.lit(log.agg(F.max("seq")).first()[0]), F.lit(0)).cast("long")
-    rank = F.row_number().over(Window.orderBy("position", "ref_path"))  # a driver-side batch of refs
-    return new.select(
-        (base + rank).cast("long").alias("seq"), ref_path(F.col("ref_path")).alias("ref_path"), "cid", F.lit("put").alias("op")
-    )
+def at(batch: Column, position: Column | int = 0) -> Column:
+    """The place of a write in a log: a batch of writes, then the place in it.
+
+    One writer hands out batches, so writes are ordered without numbering a log.
+    """
+    return F.struct(batch.alias("batch"), (position if isinstance(position, Column) else F.lit(position)).alias("position"))
+
+
+def update(new: DataFrame, batch: Column) -> DataFrame:
+    """``new(ref_path, cid, position)`` as log rows of one batch, in the order of ``position``."""
+    return new.select(at(batch, F.col("position")).alias("seq"), ref_path(F.col("ref_path")).alias("ref_path"), "cid", F.lit("put").alias("op"))
 
 
 def publish(manifests: DataFrame) -> DataFrame:
@@ -73,34 +79,37 @@ def exists(log: DataFrame, names: DataFrame) -> DataFrame:
     return names.join(current(log).select("ref_path"), "ref_path", "left_semi")
 
 
-def delete(log: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tombstones to append, every name with whether it existed)."""
-    base = F.coalesce(F.lit(log.agg(F.max("seq")).first()[0]), F.lit(0)).cast("long")
-    now = current(log).withColumn("hit", F.lit(True)).drop("cid")
-    found = names.select("ref_path").distinct().join(now, "ref_path", "left").withColumn("existed", F.col("hit").isNotNull())
-    rank = F.row_number().over(Window.orderBy("ref_path"))
+def delete(log: DataFrame, names: DataFrame, seq: Column) -> tuple[DataFrame, DataFrame]:
+    """(tombstones to append at ``seq``, every name with whether it existed)."""
+    now = current(log).select("ref_path", F.lit(True).alias("hit"))
+    asked = names.select(ref_path(F.col("ref_path")).alias("ref_path")).distinct()
+    found = asked.join(now, "ref_path", "left").select("ref_path", F.col("hit").isNotNull().alias("existed"))
     gone = found.filter("existed").select(
-        (base + rank).cast("long").alias("seq"), "ref_path", F.lit(None).cast("string").alias("cid"), F.lit("delete").alias("op")
+        seq.alias("seq"), "ref_path", F.lit(None).cast("string").alias("cid"), F.lit("delete").alias("op")
     )
-    return gone, found.select("ref_path", "existed")
+    return gone, found
+
+
+#: Parent links that are followed in one plan; longer walks are cut in the shared folder.
+HOPS = 16
 
 
 def history(starts: DataFrame, manifests: DataFrame, limit: int = 10) -> DataFrame:
     """``start, depth, cid``: parent links from each start, newest first, ``limit`` at most.
 
-    ``starts(cid)``, ``manifests(cid, parent)``. One recursive query, so the
-    depth of a chain never multiplies jobs.
+    ``starts(cid)``, ``manifests(cid, parent)``. Each start carries its walk, so
+    every hop is one join of the starts that still go on with the links, whose
+    shuffle all hops share. An unknown start has no history; a link to an
+    unknown manifest ends it.
     """
-    spark = starts.sparkSession
-    starts.createOrReplaceTempView("_history_starts")
-    manifests.select("cid", "parent").createOrReplaceTempView("_history_links")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk (start, depth, cid, parent) AS (
-          SELECT s.cid, 1, m.cid, m.parent FROM _history_starts s JOIN _history_links m ON m.cid = s.cid
-          UNION ALL
-          SELECT w.start, w.depth + 1, m.cid, m.parent FROM walk w JOIN _history_links m ON m.cid = w.parent
-          WHERE w.depth < {int(limit)})
-        SELECT start, depth, cid FROM walk
-        """
+    links = manifests.select(F.col("cid").alias("__at"), F.col("parent").alias("__next"))
+    walk = starts.select(F.col("cid").alias("start")).join(links, F.col("start") == F.col("__at")).select(
+        "start", F.array("start").alias("path"), F.col("__next").alias("next")
     )
+    for hop in range(1, limit):
+        step = walk.join(links, F.col("next") == F.col("__at"), "left")
+        more = F.when(F.col("__at").isNotNull(), F.array("__at")).otherwise(F.array().cast(walk.schema["path"].dataType))
+        walk = step.select("start", F.concat("path", more).alias("path"), F.col("__next").alias("next"))
+        if hop % HOPS == 0:
+            walk = checkpoint(walk)
+    return walk.select("start", F.posexplode("path").alias("depth", "cid")).select("start", (F.col("depth") + 1).alias("depth"), "cid")

@@ -1,21 +1,25 @@
-"""The on-disk layout ``blobs/{cid}``, ``blobs/{cid}.obao``, ``refs/{path}`` as Spark tables.
+"""The layout ``blobs/{cid}``, ``blobs/{cid}.obao``, ``refs/{path}`` as Spark tables.
 
 Reads go through Spark's file source, so they reach every store that Spark
-reaches. Writes go through the ``blocks`` data source: tasks stage files in the
-store itself, the driver's commit renames them, an abort deletes them.
+reaches. Writes go through the ``blocks`` data source. Every task puts its own
+objects in place, whole or not at all, so nothing passes through the driver.
+Blobs are named by what they hold: a task that runs again writes the same. Refs
+of a job that fails may be renewed in part; write them after their objects.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from cairn.functions import blake3
+from cairn.functions.cid import cid_of_digest
+from cairn.operators.blobs import from_locations
 from cairn.sources.config import store_path
+from cairn.sources.stores import blob_key, place, ref_key
 
 
 def read_blobs(spark: SparkSession, uri: str) -> DataFrame:
@@ -50,68 +54,60 @@ def list_folder(spark: SparkSession, path: str, keep: Column | None = None) -> D
 
 def read_locations(spark: SparkSession, uris: list[str]) -> DataFrame:
     """Blobs of several stores; the first store that holds a cid serves it."""
-    from cairn.operators.blobs import from_locations
-
     return from_locations([read_blobs(spark, u) for u in uris])
 
 
+def write_paths(files: DataFrame, uri: str, batch: int) -> None:
+    """``path, content`` into the store: contents are hashed on the way, and an index keeps their paths.
+
+    ``batch`` orders the writes of one path; the largest is the latest.
+    """
+    spark = files.sparkSession
+    register(spark)
+    hashed = files.select("path", "content", cid_of_digest(blake3.blake3(F.col("content"))).alias("cid"))
+    hashed.select("cid", "content").write.format("blocks").option("uri", uri).mode("append").save()
+    index = hashed.select("path", "cid", F.octet_length("content").cast("long").alias("size"), F.lit(batch).cast("long").alias("batch"))
+    index.write.mode("append").parquet(f"{store_path(uri, 'blocks')}/index")
+
+
+def read_index(spark: SparkSession, uri: str) -> DataFrame:
+    """``path, cid, size``: what each path holds now."""
+    index = spark.read.parquet(f"{store_path(uri, 'blocks')}/index")
+    latest = Window.partitionBy("path").orderBy(F.desc("batch"), "cid")
+    return index.withColumn("n", F.row_number().over(latest)).filter("n = 1").select("path", "cid", "size")
+
+
+def read_paths(spark: SparkSession, uri: str, paths: DataFrame) -> DataFrame:
+    """Every ``path`` asked for with its ``cid`` and ``content``, null if it was never written."""
+    known = paths.join(read_index(spark, uri), "path", "left")
+    return known.join(read_blobs(spark, uri).select("cid", "content"), "cid", "left").select("path", "cid", "content")
+
+
 @dataclass
-class Staged(WriterCommitMessage):
-    files: list[tuple[str, str]]
+class Written(WriterCommitMessage):
+    objects: int
 
 
 class BlocksWriter(DataSourceWriter):
-    """Rows ``cid, content[, outboard]`` or ``ref_path, cid`` into a file store."""
+    """Rows ``cid, content[, outboard]`` or ``ref_path, cid`` into a store."""
 
     def __init__(self, options: dict, columns: list[str]):
-        kind = "refs" if "ref_path" in columns else "blocks"
-        path = store_path(options.get("uri"), kind)
-        if not path.startswith("file://"):
-            raise ValueError("the blocks sink writes to file stores")
-        self.base, self.columns, self.kind = path.removeprefix("file://"), columns, kind
-
-    def write(self, rows) -> Staged:
-        stage = os.path.join(self.base, ".staging", uuid.uuid4().hex)
-        os.makedirs(stage, exist_ok=True)
-        staged: list[tuple[str, str]] = []
-
-        def put(target: str, content: bytes) -> None:
-            if ".." in target.split("/"):
-                raise ValueError(f"key climbs: {target!r}")
-            part = os.path.join(stage, str(len(staged)))
-            with open(part, "wb") as f:
-                f.write(content)
-            staged.append((part, os.path.join(self.base, target)))
+        self.uri, self.columns = options.get("uri"), columns
+        self.kind = "refs" if "ref_path" in columns else "blocks"
+        store_path(self.uri, self.kind)  # fails before any task starts
 
+    def write(self, rows) -> Written:
+        at, done = place(self.uri, self.kind), 0
         for row in rows:
             x = dict(zip(self.columns, row))
             if self.kind == "refs":
-                put(f"refs/{x['ref_path'].removeprefix('/')}", x["cid"].encode())
+                at.put(at.path(ref_key(x["ref_path"])), x["cid"].encode())
             else:
-                put(f"blobs/{x['cid']}", bytes(x["content"]))
                 if x.get("outboard") is not None:
-                    put(f"blobs/{x['cid']}.obao", bytes(x["outboard"]))
-        return Staged(staged)
-
-    def commit(self, messages) -> None:
-        for m in messages:
-            for part, target in m.files if m else ():
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                os.replace(part, target)
-        self._clean(messages)
-
-    def abort(self, messages) -> None:
-        for m in messages:
-            for part, _ in m.files if m else ():
-                if os.path.exists(part):
-                    os.remove(part)
-        self._clean(messages)
-
-    def _clean(self, messages) -> None:
-        for m in messages:
-            for folder in {os.path.dirname(part) for part, _ in (m.files if m else ())}:
-                if os.path.isdir(folder) and not os.listdir(folder):
-                    os.rmdir(folder)
+                    at.put(at.path(blob_key(x["cid"], ".obao")), x["outboard"])
+                at.put(at.path(blob_key(x["cid"])), x["content"])
+            done += 1
+        return Written(done)
 
 
 class BlocksDataSource(DataSource):

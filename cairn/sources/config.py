@@ -1,11 +1,10 @@
-"""Configuration of stores: parsing, validation and the choice of backend."""
+"""Configuration of stores: parsing, validation and the folder of a URI."""
 
 from __future__ import annotations
 
-import os
 import re
 from dataclasses import dataclass, field
-from typing import Any, Protocol
+from typing import Any
 from urllib.parse import urlsplit
 
 
@@ -74,138 +73,3 @@ def store_path(uri: str | None, kind: str) -> str:
     if parts.scheme == "s3":
         return f"s3a://{parts.netloc}/{parts.path.strip('/')}".rstrip("/")
     raise ConfigError(f"unknown store {parts.scheme!r}")
-
-
-class BlobStore(Protocol):
-    def write_blob(self, cid: str, content: bytes) -> bool: ...
-    def write_outboard(self, cid: str, content: bytes) -> bool: ...
-    def read_blob(self, cid: str) -> bytes | None: ...
-    def read_outboard(self, cid: str) -> bytes | None: ...
-    def exists(self, cid: str) -> bool: ...
-    def size(self, cid: str) -> int: ...
-    def delete(self, cid: str) -> bool: ...
-
-
-def _replace(path: str, content: bytes) -> None:
-    """Write through a temporary file of our own, then rename."""
-    import uuid
-
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with open(part, "wb") as f:
-        f.write(content)
-    os.replace(part, path)
-
-
-class FileBlobs:
-    """``blobs/{cid}`` and ``blobs/{cid}.obao`` under a folder; for single objects, not tables."""
-
-    def __init__(self, base: str):
-        self.base = os.path.join(base.removeprefix("file://"), "blobs")
-        os.makedirs(self.base, exist_ok=True)
-
-    def _path(self, cid: str, ending: str = "") -> str:
-        if not cid or "/" in cid or cid in (".", ".."):
-            raise ValueError(f"not a blob key: {cid!r}")
-        return os.path.join(self.base, cid + ending)
-
-    def write_blob(self, cid: str, content: bytes) -> bool:
-        _replace(self._path(cid), content)
-        return True
-
-    def write_outboard(self, cid: str, content: bytes) -> bool:
-        _replace(self._path(cid, ".obao"), content)
-        return True
-
-    def _read(self, path: str) -> bytes | None:
-        try:
-            with open(path, "rb") as f:
-                return f.read()
-        except OSError:
-            return None
-
-    def read_blob(self, cid: str) -> bytes | None:
-        return self._read(self._path(cid))
-
-    def read_outboard(self, cid: str) -> bytes | None:
-        return self._read(self._path(cid, ".obao"))
-
-    def exists(self, cid: str) -> bool:
-        return os.path.exists(self._path(cid))
-
-    def size(self, cid: str) -> int:
-        try:
-            return os.path.getsize(self._path(cid))
-        except OSError:
-            return -1
-
-    def delete(self, cid: str) -> bool:
-        found = False
-        for path in (self._path(cid), self._path(cid, ".obao")):
-            if os.path.exists(path):
-                os.remove(path)
-                found = True
-        return found
-
-
-class FileRefs:
-    """``refs/{path}`` files that hold a cid."""
-
-    def __init__(self, base: str):
-        self.base = os.path.join(base.removeprefix("file://"), "refs")
-        os.makedirs(self.base, exist_ok=True)
-
-    def _path(self, ref: str) -> str:
-        clean = ref[1:] if ref.startswith("/") else ref
-        if not clean or ".." in clean.split("/"):
-            raise ValueError(f"not a ref: {ref!r}")
-        return os.path.join(self.base, clean)
-
-    def write(self, ref: str, cid: str) -> bool:
-        _replace(self._path(ref), cid.encode())
-        return True
-
-    def read(self, ref: str) -> str | None:
-        try:
-            with open(self._path(ref), encoding="utf-8") as f:
-                return f.read().strip()
-        except OSError:
-            return None
-
-    def exists(self, ref: str) -> bool:
-        return os.path.isfile(self._path(ref))
-
-    def list(self, prefix: str = "") -> list[str]:
-        """Refs under a prefix of whole path parts, sorted."""
-        bare, found = prefix.strip("/"), []
-        for folder, _, files in os.walk(self.base):
-            for name in files:
-                ref = os.path.relpath(os.path.join(folder, name), self.base)
-                if not name.endswith(".tmp") and (not bare or ref == bare or ref.startswith(f"{bare}/")):
-                    found.append(ref)
-        return sorted(found)
-
-    def delete(self, ref: str) -> bool:
-        path = self._path(ref)
-        if not os.path.isfile(path):
-            return False
-        os.remove(path)
-        folder = os.path.dirname(path)
-        while folder != self.base and not os.listdir(folder):
-            os.rmdir(folder)
-            folder = os.path.dirname(folder)
-        return True
-
-
-def blob_store(uri: str | None) -> FileBlobs:
-    path = store_path(uri, "blocks")
-    if not path.startswith("file://"):
-        raise ConfigError("single objects need a file store; read buckets as tables")
-    return FileBlobs(path)
-
-
-def ref_store(uri: str | None) -> FileRefs:
-    path = store_path(uri, "refs")
-    if not path.startswith("file://"):
-        raise ConfigError("single refs need a file store; read buckets as tables")
-    return FileRefs(path)

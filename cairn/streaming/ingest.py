@@ -5,29 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions import blake3, metadata
+from cairn.functions import blake3, metadata, paths
 from cairn.functions.cid import cid_of_digest
 from cairn.operators import blobs, manifests
 from cairn.sources import blocks
 
 
-def ingest(files: DataFrame, produced_at: Column) -> DataFrame:
+def ingest(
+    files: DataFrame, produced_at: Column, sample: Column | None = None, process: Column | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """``path, content`` to blobs with outboards and output objects with their own cids.
 
-    The clock is a parameter, so that equal inputs give equal objects.
+    ``sample`` and ``process`` are maps of metadata over the columns of
+    ``files``, whose columns ``keep`` go along. The clock is a parameter, so that
+    equal inputs give equal objects.
     """
-    hashed = files.withColumn("h", blake3.hash_result(F.col("content")))
-    named = hashed.select(
-        F.substring_index("path", "/", -1).alias("file_name"), "content", cid_of_digest(F.col("h.hash")).alias("cid"),
-        F.col("h.outboard").alias("outboard"), F.col("h.size").alias("size"),
+    none = F.lit(None).cast("map<string,string>")
+    hashed = files.withColumns(
+        {
+            "h": blake3.hash_result(F.col("content")),
+            "sample_metadata": none if sample is None else metadata.normalize_map(sample),
+            "process_metadata": none if process is None else metadata.normalize_map(process),
+        }
     )
-    entry = F.struct(
-        F.lit(manifests.OUTPUT_TYPE).alias("@type"), "file_name", metadata.file_type(F.col("file_name")).alias("file_type"),
-        manifests.link(F.col("cid")).alias("data_blob"), F.col("size").alias("data_size_bytes"),
-        F.lit(manifests.DIGEST).alias("data_hash_algorithm"), produced_at.alias("produced_at"),
+    named = hashed.select(
+        paths.file_name(F.col("path")).alias("file_name"), "content", cid_of_digest(F.col("h.hash")).alias("data_blob"),
+        F.col("h.outboard").alias("outboard"), F.col("h.size").alias("data_size_bytes"), "sample_metadata", "process_metadata",
+        *keep,
+    ).withColumns({"file_type": metadata.file_type(F.col("file_name")), "produced_at": produced_at})
+    coded = manifests.encode_objects(named.withColumn("json", manifests.output_json(named)))
+    return coded.select(
+        "file_name", "file_type", "content", F.col("data_blob").alias("data_cid"), "outboard", F.col("data_size_bytes").alias("size"),
+        "json", F.col("bytes").alias("metadata"), F.col("cid").alias("metadata_cid"), *keep,
     )
-    coded = manifests.encode_objects(named.withColumn("json", F.to_json(entry)).withColumnRenamed("cid", "data_cid"))
-    return coded.withColumnRenamed("cid", "metadata_cid").withColumnRenamed("bytes", "metadata")
+
+
+def outputs(ingested: DataFrame, run_id: Column, seq: Column) -> DataFrame:
+    """``run_id, outputs``: file name to metadata link; of files of one name the last by ``seq``."""
+    rows = ingested.select(run_id.alias("run_id"), F.col("file_name").alias("path"), F.col("metadata_cid").alias("cid"), seq.alias("seq"))
+    return manifests.outputs_of(rows)
 
 
 def store(spark: SparkSession, ingested: DataFrame, uri: str) -> None:
