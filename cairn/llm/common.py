@@ -5,13 +5,14 @@ from __future__ import annotations
 import contextlib
 import gc
 import sys
-import tempfile
 import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.sources.shared import checkpoint, checkpoint_dir
+
 #: Word separators: space and the five ASCII control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -34,21 +35,14 @@ def once(col: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, col)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where none is set."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="cairn-checkpoints-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df``; the copy lives in the shared folder until Spark drops it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fits(df: DataFrame, *strings: str) -> bool:
+    """Whether a kept table is small enough to broadcast: its text columns ``strings``, and 64 bytes a row."""
+    size = sum((F.coalesce(F.octet_length(s), F.lit(0)) for s in strings), F.lit(64).cast("long"))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 class Scratch:

@@ -82,4 +82,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.oracle()}
+    return {"op6_quality_rules": quality_rules.oracle(), "op9_kd_sharding": kd_sharding.oracle()}
