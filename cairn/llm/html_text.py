@@ -1,18 +1,26 @@
 """Main text of web pages: site templates go by counting element subtrees.
 
-Every element subtree is hashed; Spark counts, per host, on how many distinct
-pages each hash occurs. Subtrees on at least ``PAGES`` pages and ``SHARE`` of the
-host's, which leaves room for some fifty layouts, are the site's template and are
-deleted; within articles and main elements, whose paragraphs repeat by
-themselves, only those on ``WITHIN`` of the pages. Besides,
-elements whose tag or class names a menu, header, footer, sidebar, notice,
-advert, form, script, style or comment section are dropped. The text is that
-of the articles if they hold at least ``ROOT`` of what is left of the page, else
-of the main element with its articles by the same rule, else all that is left.
+Every block element's subtree is hashed twice: exactly, and as a shape, which is
+its block tags with their names and its path from the root, without text, links
+and digits. Spark counts per host on how many distinct pages each hash occurs.
+
+* Exact subtrees on at least ``PAGES`` pages and ``SHARE`` of the host's, which
+  leaves room for some fifty layouts, are the site's template. Within articles and
+  main elements, whose paragraphs repeat by themselves, ``WITHIN`` of the pages
+  is asked.
+* Shapes on at least ``PAGES`` pages and ``SHAPE`` of the host's go where they stand
+  beside an article or main element that holds ``ROOT`` of the page's text: menus,
+  adverts and footers whose words change from page to page. They are counted on such
+  pages alone, so a page without a marked article loses no paragraph by its shape.
+
+What is left is the text. What counting does not reach, on hosts of few pages
+or in an element seen once, goes by fixed names of tags and classes, and of what
+is left articles are taken if they hold ``ROOT`` of it, else the main element with
+its articles by the same rule, else all of it.
 
 Defined results: a null or empty html gives an empty text; a null url is a host
 of its own; equal pages of a host count once and rows repeat the result; an empty table
-gives an empty result; other columns are never read.
+gives an empty result; time is linear in a page, however long or deep; other columns are never read.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -27,11 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import Scratch, checkpoint, small_batches
+from cairn.llm.common import BROADCAST_BYTES, checkpoint, small_batches, worker_cache
 
-PAGES, SHARE, WITHIN, ROOT = 5, 0.02, 0.5, 0.25
-#: The table of templates is broadcast up to this size, else joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+PAGES, SHARE, WITHIN, SHAPE, ROOT = 5, 0.02, 0.5, 0.1, 0.25
 
 TOKEN = re.compile(
     # A quote opens a value only after an equals sign, as browsers read it.
@@ -62,12 +69,19 @@ WORDS = frozenset(
     "disqus respond pagination pager widget toolbar search complementary contentinfo".split()
 )
 KEEP = frozenset("html body article main".split())
-#: Of the running polynomials: a Mersenne prime, so hashes fit a signed long, and an odd base.
-MODULUS, BASE = (1 << 61) - 1, 0x9E3779B97F4A7C15 % ((1 << 61) - 1)
-
-
-def unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    """``inside``: within an article, where a header belongs to it."""
+#: What holds no text under any name.
+SILENT = RAW | {"head"}
+#: Of the running polynomials: a Mersenne prime, so four times a hash fits a signed long, and odd bases.
+MODULUS = (1 << 61) - 1
+BASE, STEP = 0x9E3779B97F4A7C15 % MODULUS, 0xD6E8FEB86659FD93 % MODULUS
+DIGITS = re.compile(r"[0-9]+")
+REMEMBERED = 50_000
+#: Of a template: exact subtrees outside articles, exact ones anywhere, shapes.
+OUTSIDE, ANYWHERE, SHAPED = 0, 1, 2
+
+
+def named(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether the name says it is no part of the article. ``inside``: within one, where a header belongs to it."""
     if tag in DROP or tag == "header" and not inside:
         return True
     if tag in KEEP - {"article"} or not attributes or attributes.isspace():
@@ -80,6 +94,29 @@ def unwanted(tag: str, attributes: str, inside: bool) -> bool:
     return any(WORDS.intersection(split(found.get(name, ""))) for name in ("class", "id", "role"))
 
 
+def number(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+
+
+def shape(tag: str, attributes: str) -> int:
+    """The element's part in a shape: its tag, class, id and role, digits left out."""
+    found = {m[0].lower(): "".join(m[1:]) for m in ATTRIBUTE.findall(attributes)} if attributes else {}
+    return number(DIGITS.sub("", "|".join((tag, *(" ".join(found.get(k, "").split()) for k in ("class", "id", "role"))))))
+
+
+def cached(name: str, f, *key):
+    """``f`` of the key, remembered by the worker."""
+    held = worker_cache().setdefault(name, {})
+    found = held.get(key)
+    if found is None:
+        if len(held) >= REMEMBERED:
+            held.clear()
+        found = f(*key)
+        if len(key[1]) <= 256:
+            held[key] = found
+    return found
+
+
 def events(source: str) -> Iterator[tuple[str, int, int, str, str]]:
     """(kind, start, end, tag, attributes) of the markup; kind: open, close or skip."""
     at = 0
@@ -138,96 +175,124 @@ def walk(source: str) -> Iterator[tuple]:
     yield from close(0, len(source))
 
 
-def elements(source: str) -> Iterator[tuple[int, int, bool]]:
-    """(start, hash, within an article) of the block elements.
+class Page:
+    """A page in one pass: its text blocks, and its block elements with their hashes.
 
-    An element's hash is the difference of two running polynomials over the
-    events, so a page takes time linear in its markup, however deep it nests.
+    A hash is the difference of two running polynomials over the events, so a
+    page takes time linear in its markup, however deep it nests.
     """
-    total, power = [0], [1]
-    opened: list[tuple[int, int, bool]] = []
-    articles = 0
-    for event in walk(source):
-        what = event[0]
-        if what == "text":
-            token = " ".join(source[event[1] : event[2]].split())
-            if not token:
-                continue
-        else:
-            token = f"<{what} {' '.join(event[3].split()) if what == 'open' else ''}<{event[1] if len(event) > 1 else ''}"
-        value = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
-        total.append((total[-1] * BASE + value) % MODULUS)
-        power.append(power[-1] * BASE % MODULUS)
-        if what == "open":
-            articles += event[1] in ("article", "main")
-            opened.append((event[2], len(total) - 2, articles > 0))
-        elif what == "close":
-            start, k, inside = opened.pop()
-            articles -= event[1] in ("article", "main")
-            if event[1] in BLOCK and event[1] not in KEEP:
-                yield start, (total[-1] - total[k] * power[len(total) - 1 - k]) % MODULUS, inside
-
-
-def subtrees(source: str) -> set[int]:
-    """Hashes of the block subtrees."""
-    return {value for _, value, _ in elements(source)}
-
 
-def extract(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text: blocks joined by an empty line.
-
-    ``template``: twice a subtree's hash, and 1 more if it goes within articles too.
-    """
-    gone: dict[int, bool] = {}
-    if template:
-        for start, value, _ in elements(source):
-            if 2 * value in template or 2 * value + 1 in template:
-                gone[start] = 2 * value + 1 in template
-    blocks: list[tuple[str, str]] = []
-    parts: list[str] = []
-    state: list[tuple[str, bool, bool]] = []  # root before, dropped before, a block
-    root, dropped = "body", False
-
-    def flush() -> None:
-        if parts:
+    def __init__(self, source: str):
+        self.blocks: list[tuple[str, bool, str]] = []  # root, dropped by name, text
+        self.spans: list[tuple[int, int, int, int, bool]] = []  # first block, end, exact hash, shape, about an article
+        self._read(source)
+        sizes = {"body": 0, "main": 0, "article": 0}
+        for root, _, text in self.blocks:
+            sizes[root] += len(text)
+        #: An article or main element that holds a good part of the text.
+        self.framed = sizes["main"] + sizes["article"] > 0 and sizes["main"] + sizes["article"] >= ROOT * sum(sizes.values())
+
+    def _read(self, source: str) -> None:
+        blocks, spans, parts = self.blocks, self.spans, []
+        total, power, outline, path = [0], [1], [0], [0]
+        powers = [1]  # of the outline
+        opened: list[tuple] = []
+        root, dropped, silent, articles, met = "body", False, False, 0, 0
+
+        def flush() -> None:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                blocks.append((root, text))
-
-    for event in walk(source):
-        what = event[0]
-        if what == "text":
-            if not dropped:
-                parts.append(source[event[1] : event[2]])
-        elif what in ("break", "space"):
-            if not dropped and what == "break":
-                parts.append(" ")
-        elif what == "open":
-            tag = event[1]
-            block = tag in BLOCK
-            if block:
-                flush()
-            state.append((root, dropped, block))
-            inside = root == "article"
-            if tag == "article":
-                root = "article"
-            elif (tag == "main" or "main" in event[3] and re.search(r"role\s*=\s*[\"']?main\b", event[3])) and not inside:
-                root = "main"
-            if unwanted(tag, event[3], inside) or event[2] in gone and (root == "body" or gone[event[2]]):
-                dropped = True
-        else:
-            before, was, block = state.pop()
-            if block:
-                flush()
-            root, dropped = before, was
-    flush()
-    size = sum(len(text) for _, text in blocks)
-    for roots in (("article",), ("main", "article")):
-        found = [text for of, text in blocks if of in roots]
-        if found and sum(map(len, found)) >= ROOT * size:
-            return "\n\n".join(found)
-    return "\n\n".join(text for _, text in blocks)
+                blocks.append((root, dropped, text))
+
+        for event in walk(source):
+            what = event[0]
+            if what == "text":
+                text = source[event[1] : event[2]]
+                if not silent:
+                    parts.append(text)
+                token = " ".join(text.split())
+                if not token:
+                    continue
+                value = number(token)
+            elif what == "open":
+                tag, attributes = event[1], event[3]
+                block = tag in BLOCK
+                value = cached("page opens", lambda t, a: number(f"<{t} {' '.join(a.split())}"), tag, attributes)
+                if block and parts:
+                    flush()
+                opened.append((root, dropped, silent, block, len(blocks), len(total) - 1, len(outline) - 1, articles > 0, met))
+                inside = root == "article"
+                dropped = dropped or cached("page names", named, tag, attributes, inside)
+                silent = silent or tag in SILENT
+                if tag == "article":
+                    root = "article"
+                elif not inside and (tag == "main" or "main" in attributes and re.search(r"role\s*=\s*[\"']?main\b", attributes)):
+                    root = "main"
+                if tag in ("article", "main"):
+                    articles, met = articles + 1, met + 1
+                if block:
+                    form = cached("page shapes", shape, tag, attributes)
+                    path.append((path[-1] * STEP + form) % MODULUS)
+                    outline.append((outline[-1] * STEP + form) % MODULUS)
+                    powers.append(powers[-1] * STEP % MODULUS)
+            elif what == "close":
+                value = cached("page closes", lambda t, _: number(f"</{t}"), event[1], "")
+            else:
+                if what == "break" and not silent:
+                    parts.append(" ")
+                value = 1 if what == "break" else 2
+            total.append((total[-1] * BASE + value) % MODULUS)
+            power.append(power[-1] * BASE % MODULUS)
+            if what == "close":
+                before, was, quiet, block, first, k, m, within, held = opened.pop()
+                if block:
+                    if parts:
+                        flush()
+                    outline.append((outline[-1] * STEP + 7) % MODULUS)
+                    powers.append(powers[-1] * STEP % MODULUS)
+                if event[1] in ("article", "main"):
+                    articles -= 1
+                if block:
+                    seat = path.pop()
+                    if event[1] not in KEEP:
+                        exact = (total[-1] - total[k] * power[len(total) - 1 - k]) % MODULUS
+                        form = (outline[-1] - outline[m] * powers[len(outline) - 1 - m] + seat * BASE) % MODULUS
+                        # An element that holds an article counts as a part of it.
+                        spans.append((first, len(blocks), exact, form, within or met > held))
+                root, dropped, silent = before, was, quiet
+        flush()
+
+    def codes(self) -> set[int]:
+        """Twice the hash of every exact subtree; twice that of every shape beside an article, and 1 more."""
+        found = {2 * exact for _, _, exact, _, _ in self.spans}
+        if self.framed:
+            found |= {2 * form + 1 for _, _, _, form, about in self.spans if not about}
+        return found
+
+    def text(self, template: frozenset[int] | set[int] = frozenset(), names: bool = True) -> str:
+        """Blocks joined by an empty line. ``template``: four times a hash, and its kind; ``names``: use those of tags and classes too."""
+        steps = [0] * (len(self.blocks) + 1)
+        if template:
+            for first, end, exact, form, about in self.spans:
+                if first < end and (
+                    4 * exact + ANYWHERE in template
+                    or not about and (4 * exact + OUTSIDE in template or self.framed and 4 * form + SHAPED in template)
+                ):
+                    steps[first] += 1
+                    steps[end] -= 1
+        left = [(root, text) for (root, dropped, text), n in zip(self.blocks, accumulate(steps)) if not n and not (names and dropped)]
+        size = sum(len(text) for _, text in left)
+        for roots in (("article",), ("main", "article")) if names else ():
+            found = [text for of, text in left if of in roots]
+            if found and sum(map(len, found)) >= ROOT * size:
+                return "\n\n".join(found)
+        return "\n\n".join(text for _, text in left)
+
+
+def extract(source: str, template: frozenset[int] | set[int] = frozenset(), names: bool = True) -> str:
+    """The main text of one page."""
+    return Page(source).text(template, names)
 
 
 def host_of(url: str = "url"):
@@ -236,18 +301,21 @@ def host_of(url: str = "url"):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``(host, hashes)``: the subtrees that recur across a host's pages."""
-    hashes = F.arrow_udf(lambda col: pa.array([list(subtrees(x or "")) for x in col.to_pylist()], pa.list_(pa.int64())), T.ArrayType(T.LongType()))
+    """``(host, hashes)``: the subtrees and shapes that recur across a host's pages, four times the hash and its kind."""
+    codes = F.arrow_udf(lambda col: pa.array([list(Page(x or "").codes()) for x in col.to_pylist()], pa.list_(pa.int64())), T.ArrayType(T.LongType()))
     page = F.xxhash64(F.coalesce("html", F.lit(""))).alias("page")
-    seen = pages.select(host_of().alias("host"), page, F.explode(hashes("html")).alias("hash"))
-    total = pages.groupBy(host_of().alias("host")).agg(F.count_distinct(page).alias("pages"))
-    often = seen.groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= PAGES)
+    seen = pages.select(host_of().alias("host"), page, F.explode(codes("html")).alias("code"))
+    total = checkpoint(pages.groupBy(host_of().alias("host")).agg(F.count_distinct(page).alias("pages")))
+    often = checkpoint(seen.groupBy("host", "code").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= PAGES))
+    shaped, share = F.col("code") % 2 == 1, F.col("n") / F.col("pages")
+    kind = F.when(shaped, F.when(share >= SHAPE, SHAPED)).when(share >= WITHIN, ANYWHERE).when(share >= SHARE, OUTSIDE)
     # At most 1 / SHARE times the subtrees of an average page are left for a host.
     return (
         often.join(total, "host")
-        .filter(F.col("n") >= SHARE * F.col("pages"))
+        .select("host", (F.shiftright("code", 1) * 4 + kind).alias("hash"))
+        .filter("hash is not null")
         .groupBy("host")
-        .agg(F.collect_list(F.col("hash") * 2 + (F.col("n") >= WITHIN * F.col("pages")).cast("long")).alias("hashes"))
+        .agg(F.collect_list("hash").alias("hashes"))
     )
 
 
