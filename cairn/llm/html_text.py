@@ -104,17 +104,29 @@ def shape(tag: str, attributes: str) -> int:
     return number(DIGITS.sub("", "|".join((tag, *(" ".join(found.get(k, "").split()) for k in ("class", "id", "role"))))))
 
 
-def cached(name: str, f, *key):
-    """``f`` of the key, remembered by the worker."""
-    held = worker_cache().setdefault(name, {})
-    found = held.get(key)
-    if found is None:
-        if len(held) >= REMEMBERED:
-            held.clear()
-        found = f(*key)
+class Remembered(dict):
+    """What a function gives for a tag and its attributes, kept by the worker."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, key: tuple):
+        found = self.f(*key)
+        if len(self) >= REMEMBERED:
+            self.clear()
         if len(key[1]) <= 256:
-            held[key] = found
-    return found
+            self[key] = found
+        return found
+
+
+def remembered() -> tuple[Remembered, Remembered, Remembered]:
+    """The parts of opening tags in exact hashes, in shapes, and whether their names tell them off."""
+    held = worker_cache()
+    if "page tags" not in held:
+        opens = Remembered(lambda tag, attributes: number(f"<{tag} {' '.join(attributes.split())}"))
+        held["page tags"] = opens, Remembered(shape), Remembered(named)
+    return held["page tags"]
 
 
 def events(source: str) -> Iterator[tuple[str, int, int, str, str]]:
@@ -182,20 +194,21 @@ class Page:
     page takes time linear in its markup, however deep it nests.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, texts: bool = True, hashes: bool = True):
+        """``texts``, ``hashes``: whether blocks and hashes are asked for."""
         self.blocks: list[tuple[str, bool, str]] = []  # root, dropped by name, text
         self.spans: list[tuple[int, int, int, int, bool]] = []  # first block, end, exact hash, shape, about an article
-        self._read(source)
         sizes = {"body": 0, "main": 0, "article": 0}
-        for root, _, text in self.blocks:
-            sizes[root] += len(text)
+        self._read(source, sizes, texts, hashes)
         #: An article or main element that holds a good part of the text.
         self.framed = sizes["main"] + sizes["article"] > 0 and sizes["main"] + sizes["article"] >= ROOT * sum(sizes.values())
 
-    def _read(self, source: str) -> None:
+    def _read(self, source: str, sizes: dict[str, int], texts: bool, hashes: bool) -> None:
         blocks, spans, parts = self.blocks, self.spans, []
-        total, power, outline, path = [0], [1], [0], [0]
-        powers = [1]  # of the outline
+        opens, shapes, names = remembered()
+        digest = xxhash.xxh64_intdigest
+        # Running polynomials over all events, and over the shapes of blocks, with the powers that take their starts off.
+        total, power, outline, powers, path = [0], [1], [0], [1], [0]
         opened: list[tuple] = []
         root, dropped, silent, articles, met = "body", False, False, 0, 0
 
@@ -210,20 +223,21 @@ class Page:
             if what == "text":
                 text = source[event[1] : event[2]]
                 if not silent:
-                    parts.append(text)
-                token = " ".join(text.split())
+                    sizes[root] += len(text)
+                    if texts:
+                        parts.append(text)
+                token = hashes and " ".join(text.split())
                 if not token:
                     continue
-                value = number(token)
+                value = digest(token.encode("utf-8", "surrogatepass"))
             elif what == "open":
                 tag, attributes = event[1], event[3]
                 block = tag in BLOCK
-                value = cached("page opens", lambda t, a: number(f"<{t} {' '.join(a.split())}"), tag, attributes)
                 if block and parts:
                     flush()
                 opened.append((root, dropped, silent, block, len(blocks), len(total) - 1, len(outline) - 1, articles > 0, met))
                 inside = root == "article"
-                dropped = dropped or cached("page names", named, tag, attributes, inside)
+                dropped = dropped or names[tag, attributes, inside]
                 silent = silent or tag in SILENT
                 if tag == "article":
                     root = "article"
@@ -231,36 +245,42 @@ class Page:
                     root = "main"
                 if tag in ("article", "main"):
                     articles, met = articles + 1, met + 1
+                if not hashes:
+                    continue
+                value = opens[tag, attributes]
                 if block:
-                    form = cached("page shapes", shape, tag, attributes)
+                    form = shapes[tag, attributes]
                     path.append((path[-1] * STEP + form) % MODULUS)
                     outline.append((outline[-1] * STEP + form) % MODULUS)
                     powers.append(powers[-1] * STEP % MODULUS)
             elif what == "close":
-                value = cached("page closes", lambda t, _: number(f"</{t}"), event[1], "")
+                before, was, quiet, block, first, k, m, within, held = opened.pop()
+                if block and parts:
+                    flush()
+                if event[1] in ("article", "main"):
+                    articles -= 1
+                if hashes:
+                    total.append((total[-1] * BASE + opens["/", event[1]]) % MODULUS)
+                    power.append(power[-1] * BASE % MODULUS)
+                    if block:
+                        outline.append((outline[-1] * STEP + 7) % MODULUS)
+                        powers.append(powers[-1] * STEP % MODULUS)
+                        seat = path.pop()
+                        if event[1] not in KEEP:
+                            exact = (total[-1] - total[k] * power[len(total) - 1 - k]) % MODULUS
+                            form = (outline[-1] - outline[m] * powers[len(outline) - 1 - m] + seat * BASE) % MODULUS
+                            # An element that holds an article counts as a part of it.
+                            spans.append((first, len(blocks), exact, form, within or met > held))
+                root, dropped, silent = before, was, quiet
+                continue
             else:
-                if what == "break" and not silent:
+                if what == "break" and not silent and texts:
                     parts.append(" ")
+                if not hashes:
+                    continue
                 value = 1 if what == "break" else 2
             total.append((total[-1] * BASE + value) % MODULUS)
             power.append(power[-1] * BASE % MODULUS)
-            if what == "close":
-                before, was, quiet, block, first, k, m, within, held = opened.pop()
-                if block:
-                    if parts:
-                        flush()
-                    outline.append((outline[-1] * STEP + 7) % MODULUS)
-                    powers.append(powers[-1] * STEP % MODULUS)
-                if event[1] in ("article", "main"):
-                    articles -= 1
-                if block:
-                    seat = path.pop()
-                    if event[1] not in KEEP:
-                        exact = (total[-1] - total[k] * power[len(total) - 1 - k]) % MODULUS
-                        form = (outline[-1] - outline[m] * powers[len(outline) - 1 - m] + seat * BASE) % MODULUS
-                        # An element that holds an article counts as a part of it.
-                        spans.append((first, len(blocks), exact, form, within or met > held))
-                root, dropped, silent = before, was, quiet
         flush()
 
     def codes(self) -> set[int]:
@@ -292,7 +312,7 @@ class Page:
 
 def extract(source: str, template: frozenset[int] | set[int] = frozenset(), names: bool = True) -> str:
     """The main text of one page."""
-    return Page(source).text(template, names)
+    return Page(source, hashes=bool(template)).text(template, names)
 
 
 def host_of(url: str = "url"):
@@ -302,7 +322,7 @@ def host_of(url: str = "url"):
 
 def templates(pages: DataFrame) -> DataFrame:
     """``(host, hashes)``: the subtrees and shapes that recur across a host's pages, four times the hash and its kind."""
-    codes = F.arrow_udf(lambda col: pa.array([list(Page(x or "").codes()) for x in col.to_pylist()], pa.list_(pa.int64())), T.ArrayType(T.LongType()))
+    codes = F.arrow_udf(lambda col: pa.array([list(Page(x or "", texts=False).codes()) for x in col.to_pylist()], pa.list_(pa.int64())), T.ArrayType(T.LongType()))
     page = F.xxhash64(F.coalesce("html", F.lit(""))).alias("page")
     seen = pages.select(host_of().alias("host"), page, F.explode(codes("html")).alias("code"))
     total = checkpoint(pages.groupBy(host_of().alias("host")).agg(F.count_distinct(page).alias("pages")))
