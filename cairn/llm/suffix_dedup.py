@@ -6,26 +6,30 @@ A byte goes if a ``LENGTH``-byte string that covers it starts anywhere else.
    its ``GRAM``-byte strings with the smallest hash. Equal windows have equal
    anchors, so two equal strings meet under their anchor's hash.
 2. Regions. The windows of an anchor make up one region around it. Regions that
-   are equal as a whole repeat as a whole; Spark counts them by hash.
-3. Suffix arrays. Of an anchor whose regions differ, one region of each kind is
-   fetched. Their texts, cut where any two begin to differ so that a block is
-   one symbol, are concatenated and sorted by linear grouping; a suffix and its
-   neighbour share a maximal match, and matches of ``LENGTH`` bytes are spans.
+   are equal as a whole are one kind; Spark counts kinds and fetches the bytes of
+   one region of each that may repeat, so copies are never sorted in full.
+3. Suffix arrays settle what repeats. A kind that occurs more than once goes in as
+   two copies; kinds under one anchor go in together. Their texts, cut where any two
+   begin to differ so that a block is one symbol, are concatenated and sorted by linear
+   grouping; a suffix and its neighbour share a maximal match, and matches of
+   ``LENGTH`` bytes are spans, which hold for every region of the kind.
 4. Crowds. An anchor with more than ``CROWD`` kinds of region is split by the
    bytes next to it: windows that reach equally far to its left, within one of
    ``WIDTHS``, can only be equal if what all of them hold is equal. Stretches
-   that are equal as a whole are counted as regions are, and one of each kind
-   goes on, to a suffix array once its group fits, else to the next width. At
-   width 1 a stretch is a window, and equal ones are one kind.
+   that are equal as a whole are one kind again, so the arrays of the third step
+   settle them, with the next width where a group is too large still. At width 1 a
+   stretch is a window, equal ones are one kind, and every group fits.
 
 Defined results: a null or empty text has no bytes and keeps none; texts under
 ``LENGTH`` bytes are kept; each repeated row counts as a document; an empty table
-gives an empty result; other columns are left alone.
+gives an empty result; a long text is read as a whole by one task; other columns
+are left alone.
 """
 
 from __future__ import annotations
 
 import struct
+from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -232,40 +236,40 @@ class Sorter:
                 yield row, a, b
 
 
-SPAN = "doc long, hash long, lo int, hi int"
+SPAN = "fp long, kind long, lo int, hi int"
 
 
 def _spans(found) -> pa.RecordBatch:
-    doc, h, lo, hi = zip(*found) if found else ((), (), (), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
-        ["doc", "hash", "lo", "hi"],
-    )
+    columns = list(zip(*found)) if found else [()] * 4
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["fp", "kind", "lo", "hi"])
 
 
-def _sort_regions(length: int):
-    """Rows (fp, doc, hash, at, n, before, after), sorted by fp, to spans."""
+def _rows(batches):
+    for b in batches:
+        yield from zip(*(b.column(k).to_pylist() for k in range(b.num_columns)))
 
-    def rows(batches):
-        for b in batches:
-            yield from zip(*(b.column(k).to_pylist() for k in range(b.num_columns)))
 
-    def settle(sorter: Sorter) -> pa.RecordBatch:
-        return _spans([(doc, h, at + a, at + b) for (doc, h, at), a, b in sorter.matches()])
+def _settle(sorter: Sorter) -> list[tuple]:
+    return [(*row, a, b) for row, a, b in sorter.matches()]
+
+
+def _sort_regions(length: int):
+    """Rows (group, fp, kind, wanted, before, after), sorted by group, to spans."""
 
     def run(batches):
         sorter = Sorter(length)
-        for _, group in groupby(rows(batches), key=itemgetter(0)):
-            sorter.add([((doc, h, at), n == 1, before, after) for _, doc, h, at, n, before, after in group])
+        for _, group in groupby(_rows(batches), key=itemgetter(0)):
+            sorter.add([((fp, kind), wanted, before, after) for _, fp, kind, wanted, before, after in group])
             if len(sorter.symbols) >= SYMBOLS:
-                yield settle(sorter)
+                yield _spans(_settle(sorter))
                 sorter = Sorter(length)
-        yield settle(sorter)
+        yield _spans(_settle(sorter))
 
     return run
 
 
-STRETCH = "fp long, doc long, hash long, at int, before binary, after binary, low int, high int, first int, last int, inner binary, outer binary"
+STRETCH = "fp long, kind long, before binary, after binary, low int, high int, first int, last int, inner binary, outer binary"
 
 
 def _stretches(length: int, width: int):
@@ -277,12 +281,12 @@ def _stretches(length: int, width: int):
     """
     digest, pack = xxhash.xxh3_128_digest, struct.pack
     names = [x.split()[0] for x in STRETCH.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), *[pa.int32()] * 4, pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int32()] * 4, pa.binary(), pa.binary()]
 
     def run(batches):
         for b in batches:
             out = []
-            for fp, doc, h, at, before, after, low, high in zip(*(b.column(k).to_pylist() for k in range(8))):
+            for fp, kind, before, after, low, high in zip(*(b.column(k).to_pylist() for k in range(6))):
                 whole, zero = before + after, len(before)
                 least, most = max(low, length - len(after)), min(high, zero + 1)
                 for x in range(low, most, width):
@@ -290,30 +294,87 @@ def _stretches(length: int, width: int):
                     if first <= last:
                         inner = digest(pack("<qq", fp, x) + whole[zero - x : zero + max(0, length - x - width + 1)])
                         outer = digest(pack("<qq", first, last) + whole[zero - last : zero + length - first])
-                        out.append((fp, doc, h, at, before, after, x, min(x + width, high), first, last, inner, outer))
+                        out.append((fp, kind, before, after, x, min(x + width, high), first, last, inner, outer))
             columns = list(zip(*out)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return run
 
 
+TWICE = "inner binary, outer binary, lo int, hi int"
+
+
+def _sort_twice(length: int):
+    """Stretches (inner, outer, before, after) that occur more than once, to their spans."""
+
+    def settle(sorter: Sorter) -> pa.RecordBatch:
+        found = _settle(sorter)
+        columns = list(zip(*found)) if found else [()] * 4
+        types = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["inner", "outer", "lo", "hi"])
+
+    def run(batches):
+        sorter = Sorter(length)
+        for inner, outer, before, after in _rows(batches):
+            sorter.add([((inner, outer), k == 0, before, after) for k in range(2)])
+            if len(sorter.symbols) >= SYMBOLS:
+                yield settle(sorter)
+                sorter = Sorter(length)
+        yield settle(sorter)
+
+    return run
+
+
 def _split_crowds(crowded: DataFrame, width: int, length: int, crowd: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
     """The spans found at this width, and the rows of groups that are crowded still."""
-    region = ["fp", "doc", "hash", "at", "before", "after", "low", "high"]
+    region, key = ["fp", "kind", "before", "after", "low", "high"], ["inner", "outer"]
     steps = scratch.keep(f"steps{width}", crowded.select(*region).mapInArrow(_stretches(length, width), STRETCH))
-    key = ["inner", "outer"]
-    # Equal stretches repeat as a whole; one of each kind is left to be held against the others.
-    one = F.min(F.struct("doc", "hash", "at", "fp", "low", "high", "before", "after")).alias("one")
+    # One stretch of each kind is left to be held against the others.
+    one = F.min(F.struct(*region, "first", "last")).alias("one")
     kinds = scratch.keep(f"kinds{width}", steps.groupBy(*key).agg(F.count("*").alias("n"), one))
-    equal = steps.join(kinds.filter("n > 1").select(*key), key).select(
-        *KEY, (F.col("at") - F.col("last")).cast("int").alias("lo"), (F.col("at") + length - F.col("first")).cast("int").alias("hi")
+    twice = kinds.filter("n > 1").select(
+        *key, F.expr("substring(one.before, length(one.before) - one.last + 1, one.last)").alias("before"),
+        F.expr(f"substring(one.after, 1, {length} - one.first)").alias("after"),
     )
-    size = kinds.groupBy("inner").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    twice = scratch.keep(f"twice{width}", twice.mapInArrow(_sort_twice(length), TWICE))
+    equal = steps.select("fp", "kind", *key).join(twice, key).select("fp", "kind", "lo", "hi")
+    size = scratch.keep(f"sizes{width}", kinds.groupBy("inner").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     unlike = scratch.keep(f"unlike{width}", kinds.join(size, "inner").select("inner", "kinds", "n", "one.*"))
-    group = ["inner", "doc", "hash", "at", "n", "before", "after"]
-    sortable = unlike.filter(F.col("kinds") <= crowd).select(*group).repartition("inner").sortWithinPartitions("inner")
-    ordered = scratch.keep(f"sorted{width}", sortable.mapInArrow(_sort_regions(length), SPAN))
-    return [equal, ordered], unlike.filter(F.col("kinds") > crowd).select(*region)
+    sortable = unlike.filter(F.col("kinds") <= crowd).select("inner", "fp", "kind", (F.col("n") == 1).alias("wanted"), "before", "after")
+    ordered = sortable.repartition("inner").sortWithinPartitions("inner").mapInArrow(_sort_regions(length), SPAN)
+    return [equal, scratch.keep(f"sorted{width}", ordered)], unlike.filter(F.col("kinds") > crowd).select(*region)
+
+
+REGION = "fp long, kind long, wanted boolean, before binary, after binary, crowded boolean, lo int, hi int"
+
+
+def _fetch(length: int):
+    """Cuts the regions asked for out of the texts; kinds that occur more than once are settled at once."""
+    names = [x.split()[0] for x in REGION.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.bool_(), pa.int32(), pa.int32()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    def run(batches):
+        sorter = Sorter(length)
+        for b in batches:
+            out = []
+            for data, asks in zip(*(b.column(k).to_pylist() for k in range(2))):
+                for x in asks:
+                    before, after = data[x["at"] - x["left"] : x["at"]], data[x["at"] : x["at"] + x["right"]]
+                    if x["n"] > 1:
+                        sorter.add([((x["fp"], x["kind"]), k == 0, before, after) for k in range(2)])
+                    if x["kinds"] > 1:
+                        out.append((x["fp"], x["kind"], x["n"] == 1, before, after, x["crowded"], None, None))
+                if len(sorter.symbols) >= SYMBOLS:
+                    out += [(fp, kind, False, None, None, None, lo, hi) for fp, kind, lo, hi in _settle(sorter)]
+                    sorter = Sorter(length)
+            yield batch(out)
+        yield batch([(fp, kind, False, None, None, None, lo, hi) for fp, kind, lo, hi in _settle(sorter)])
+
+    return run
 
 
 def find_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -327,64 +388,33 @@ def find_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: in
     schema = "fp long, kind long, doc long, hash long, at int, left short, right short"
     long = keyed.filter(F.octet_length("data") >= length).select("doc", "hash", "data")
     points = scratch.keep("anchors", long.mapInArrow(_anchor_rows(length, gram), schema))
-    often = (
-        points.groupBy("fp")
-        .agg(F.count("*").alias("n"), F.min("kind").alias("a"), F.max("kind").alias("b"))
-        .filter("n > 1")
-        .select("fp", (F.col("a") == F.col("b")).alias("same"))
-    )
+    # Counts are kept before they are joined, so a join of a hot anchor can be split.
+    often = scratch.keep("often", points.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"))
     points = scratch.keep("meeting", points.join(often, "fp"))
     scratch.drop("anchors")
-
-    region = [*KEY, (F.col("at") - F.col("left")).cast("int").alias("lo"), (F.col("at") + F.col("right")).cast("int").alias("hi")]
-    whole = points.filter("same").select(*region)
-    mixed = points.filter("not same")
-    kinds = scratch.keep(
-        "kinds",
-        mixed.groupBy("fp", "kind").agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "at", "left", "right")).alias("first")),
-    )
-    pairs = mixed.join(kinds.filter("n > 1").select("fp", "kind"), ["fp", "kind"]).select(*region)
-
-    size = kinds.groupBy("fp").agg(F.count("*").alias("kinds"))
-    asked = (
-        kinds.join(size, "fp")
-        .select("first.doc", "first.hash", F.struct("fp", "n", "first.at", "first.left", "first.right", (F.col("kinds") > crowd).alias("crowded")).alias("ask"))
-        .groupBy(*KEY)
-        .agg(F.collect_list("ask").alias("asks"))
-    )
-
-    def fetch(batches):
-        """The regions asked for, cut out of the texts."""
-        for b in batches:
-            out = []
-            for doc, h, data, asks in zip(*(b.column(k).to_pylist() for k in range(4))):
-                for x in asks:
-                    at = x["at"]
-                    out.append((x["fp"], doc, h, at, x["n"], data[at - x["left"] : at], data[at : at + x["right"]], x["crowded"]))
-            columns = list(zip(*out)) if out else [()] * 8
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["fp", "doc", "hash", "at", "n", "before", "after", "crowded"])
-
-    fetched = keyed.join(asked, KEY).select("doc", "hash", "data", "asks")
-    regions = scratch.keep(
-        "regions", fetched.mapInArrow(fetch, "fp long, doc long, hash long, at int, n long, before binary, after binary, crowded boolean")
-    )
-    sortable = regions.filter("not crowded").drop("crowded").repartition("fp").sortWithinPartitions("fp")
-    sorted_spans = scratch.keep("sorted", sortable.mapInArrow(_sort_regions(length), SPAN))
-
-    parts = [whole, pairs, sorted_spans]
+    first = F.min(F.struct("doc", "hash", "at", "left", "right")).alias("first")
+    kinds = scratch.keep("kinds", points.groupBy("fp", "kind").agg(F.count("*").alias("n"), first))
+    size = scratch.keep("sizes", kinds.groupBy("fp").agg(F.count("*").alias("kinds")))
+    ask = F.struct("fp", "kind", "n", "kinds", "first.at", "first.left", "first.right", (F.col("kinds") > crowd).alias("crowded")).alias("ask")
+    asked = kinds.join(size, "fp").select("first.doc", "first.hash", ask).groupBy(*KEY).agg(F.collect_list("ask").alias("asks"))
+    # Rows that agree in id and text are asked once.
+    fetched = long.dropDuplicates(KEY).join(asked, KEY).select("data", "asks")
+    regions = scratch.keep("regions", fetched.mapInArrow(_fetch(length), REGION))
+    sortable = regions.filter("not crowded").select(F.col("fp").alias("group"), "fp", "kind", "wanted", "before", "after")
+    ordered = sortable.repartition("group").sortWithinPartitions("group").mapInArrow(_sort_regions(length), SPAN)
+    parts = [regions.filter("lo is not null").select("fp", "kind", "lo", "hi"), scratch.keep("sorted", ordered)]
     crowded = regions.filter("crowded").withColumns({"low": F.lit(0), "high": F.lit(length - gram + 1)})
     for width in WIDTHS:
         if not crowded.head(1):
             break
         found, crowded = _split_crowds(crowded, width, length, crowd, scratch)
         parts += found
-    spans = parts[0]
-    for p in parts[1:]:
-        spans = spans.unionByName(p)
-    spans = spans.filter(F.col("hi") - F.col("lo") >= length)
-    out = checkpoint(spans.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
-    scratch.drop()
+    spans = reduce(DataFrame.unionByName, parts)
+    # What holds for a kind holds for each of its regions.
+    placed = points.join(scratch.keep("spans", spans), ["fp", "kind"]).select(
+        *KEY, (F.col("at") + F.col("lo")).cast("int").alias("lo"), (F.col("at") + F.col("hi")).cast("int").alias("hi")
+    )
+    out = checkpoint(placed.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     free(docs.sparkSession)
     return out
 
@@ -420,7 +450,8 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def _joined(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
-    spans = find_spans(docs.select("doc_id", "text"), Scratch(docs.sparkSession), length, gram, crowd)
+    with Scratch(docs.sparkSession) as scratch:
+        spans = find_spans(docs.select("doc_id", "text"), scratch, length, gram, crowd)
     spans = spans.select(F.col("doc").alias("__sd_doc"), F.col("hash").alias("__sd_hash"), F.col("spans").alias("__sd_spans"))
     keyed = docs.withColumns(
         {"__sd_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__sd_hash": F.xxhash64(text_of())}
@@ -443,3 +474,23 @@ def cut_texts(docs: DataFrame) -> DataFrame:
 
     text = F.when(F.col("__sd_spans").isNull(), F.col("text")).otherwise(F.arrow_udf(decode, T.StringType())("__sd_cut.kept"))
     return joined.select(*(text.alias("text") if c == "text" else joined[c] for c in docs.columns))
+
+
+def oracle(length: int = LENGTH) -> str:
+    """The same in SQL: every string of ``length`` bytes by its hash, then the runs that they cover."""
+    return f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    w AS MATERIALIZED (
+      SELECT r, i, hash(b[i + 1:i + {length}]) AS h
+      FROM (SELECT r, b, unnest(range(octet_length(b) - {length - 1})) AS i FROM d WHERE octet_length(b) >= {length})),
+    s AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+    o AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run
+      FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {length} THEN 0 ELSE 1 END AS fresh FROM s)),
+    runs AS (SELECT r, min(i) AS lo, max(i) + {length} AS hi FROM o GROUP BY r, run),
+    gaps AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS prev FROM runs),
+    k AS (
+      SELECT r, string_agg(hex(b[prev + 1:lo]), '' ORDER BY lo) AS kept, max(hi) AS last, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans
+      FROM gaps JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1:]))) AS kept_sha256
+    FROM d LEFT JOIN k USING (r)"""
