@@ -20,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large stars hook larger neighbours to the smallest neighbour, small stars
     hook smaller ones; rounds are logarithmic in practice. Each round is
-    written to the shared folder, which cuts the lineage.
+    written to the shared folder, which cuts the lineage. Links with a null end
+    or of a node to itself are none; repeated links count once; no links give no rows.
     """
     spark = edges.sparkSession
     with Scratch(spark) as scratch:
@@ -33,13 +34,15 @@ def components(edges: DataFrame) -> DataFrame:
             if not state[0]:
                 break
             both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            # Kept before the joins, so that the join of a hub with its many neighbours can be split.
+            least = scratch.keep(f"least{k}", both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
             large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-            large = large.filter("hi <> lo").distinct()
-            lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
+            large = scratch.keep(f"large{k}", large.filter("hi <> lo").distinct())
+            lowest = scratch.keep(f"lowest{k}", large.groupBy("hi").agg(F.min("lo").alias("m")))
             small = large.join(lowest, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             then = scratch.keep(f"edges{k}", small.union(lowest.select("hi", "m")).distinct())
-            scratch.drop(f"edges{k - 1}")
+            for table in (f"edges{k - 1}", f"least{k}", f"large{k}", f"lowest{k}"):
+                scratch.drop(table)
             now, before, state = then, state, _state(then)
             if state == before:
                 break

@@ -82,4 +82,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffix_dedup": suffix_dedup.oracle(), "op6_quality_rules": quality_rules.oracle(), "op9_kd_sharding": kd_sharding.oracle()}
+    return {"op5_suffix_dedup": suffix_dedup.oracle(), "op6_quality_rules": quality_rules.oracle(), "op7_simhash": simhash.oracle(), "op9_kd_sharding": kd_sharding.oracle()}
