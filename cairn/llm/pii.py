@@ -5,13 +5,16 @@ The words of a document that holds an entity are candidate terms; over all docum
 
     PMI(e, t) = log(N n(e, t) / (n(e) n(t)))   and   IC(e) = log(N / n(e))
 
-count documents: n(e, t) those that hold both, n(t) those that hold t. PMI / IC is the share of what is secret about e that t gives away, 1
-for a term that occurs with e alone. Every pair is scored, from one document up:
-terms are generalised from a share of ``GENERALISE`` on and removed from
-``REMOVE`` on, at all their places in the documents that hold that entity. What chance explains gives
-nothing away: n(e, t) documents fall together by chance with a probability of
-about exp(-n(e, t) PMI), which has to lie below ``CHANCE``; in a handful of
-documents every word is rare. Texts without an entity are never changed.
+count documents: n(e, t) those that hold both, n(t) those that hold t. PMI / IC
+is the share of what is secret about e that t gives away, 1 for a term that occurs
+with e alone. Every pair is scored, from one document up: terms are generalised
+from a share of ``GENERALISE`` on and removed from ``REMOVE`` on, at all their places
+in the documents that hold that entity. With r = n(t) / n(e, t) a share of 1 - 1/k
+means N / n(e) >= r ** k, so thresholds are whole powers and rounding decides
+nothing. What chance explains gives nothing away: n(e, t) documents fall together
+by chance with a probability of about exp(-n(e, t) PMI), which has to lie below
+``CHANCE``; in a handful of documents every word is rare. Texts without an entity
+are never changed.
 
 Entities of the same documents have the same counts with every term, so they
 are scored as one class. As n(e, t) is n(e) at most, only terms of up to
@@ -21,8 +24,9 @@ Positions: a pattern's matches are fenced with U+0001, the text is split there,
 and piece lengths are summed in blocks, so a text with k matches costs O(k).
 
 Defined results: a null or empty text has no spans; rows that agree in id and
-text share their spans and count once in the statistics; an empty table gives
-an empty result; other columns are left alone.
+text share their spans and count once in n(e) and n(e, t), as rows in N and n(t);
+an empty table gives an empty result; texts are read whole, however long; other
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -49,10 +53,13 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 FENCE = "\u0001"
 BLOCK = 64
 
-#: Thresholds, and terms: words that are no part of an address or a longer token.
-GENERALISE, REMOVE, CHANCE = 0.75, 0.95, 0.01
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![.]?[\p{L}\p{N}@_%+-]|[.]++[A-Za-z0-9._%+-]*+@)"
+#: Shares 1 - 1/k by their k: 0.75 and 0.95.
+GENERALISE, REMOVE, CHANCE = 4, 20, 0.01
+#: Terms: tokens of letters alone, but for dots at their end.
+TOKEN = r"[\p{L}\p{N}@._%+-]"
+TERM = rf"(?<!{TOKEN})\p{{L}}{{3,}}+(?=[.]*+(?!{TOKEN}))"
 WORD = r"\p{L}{3,}+"
+ACTS = ("generalised", "removed")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
 
 
@@ -159,27 +166,29 @@ def analyse(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     holds = owners.select("k", "text_hash", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
     # Entities of the same documents make a class, known by their number and two hashes.
     both = [F.bit_xor(F.xxhash64(F.lit(seed), "k", "text_hash")).alias(f"h{seed}") for seed in (1, 2)]
-    classes = holds.groupBy("entity").agg(F.count("*").alias("n_e"), *both)
-    holds = holds.join(classes, "entity").select("k", "text_hash", "n_e", "h1", "h2").distinct()
-    most = lambda n_e: total * F.pow(n_e / total, F.lit(GENERALISE)) * (1 + 1e-9)
-    holds = scratch.keep("holds", holds.filter(F.col("n_e") < total))
+    # Counts are kept before they are joined, so that joins of a common entity or term can be split.
+    classes = scratch.keep("classes", holds.groupBy("entity").agg(F.count("*").alias("n_e"), *both))
+    holds = holds.join(classes.filter(F.col("n_e") < total), "entity").select("k", "text_hash", "n_e", "h1", "h2").distinct()
+    holds = scratch.keep("holds", holds)
+    most = lambda n_e: total * F.pow(n_e / total, F.lit(1 - 1 / GENERALISE)) * (1 + 1e-9)
     top = holds.agg(F.max(most(F.col("n_e")))).first()[0] or 0.0
     held = owners.select("k", "text_hash", F.explode(F.array_distinct(F.transform("words", lambda x: x["term"]))).alias("term"))
     words = docs.select(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(WORD), F.lit(0)))).alias("term")
     )
-    n_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    n_term = scratch.keep("n_term", words.groupBy("term").agg(F.count("*").alias("n_t")))
     # A term that the lower case of its whole text writes otherwise has no count but n(e, t).
     held = held.join(n_term, "term", "left").fillna({"n_t": 1}).filter(F.col("n_t") <= top)
     pairs = scratch.keep("pairs", held.join(holds, ["k", "text_hash"]).filter(F.col("n_t") <= most(F.col("n_e"))))
     counts = pairs.groupBy("n_e", "h1", "h2", "term", "n_t").agg(F.count("*").alias("n_et"))
-    pmi = F.log(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    share = pmi / F.log(F.lit(total) / F.col("n_e"))
+    n_t = F.greatest("n_t", "n_et").cast("double")
+    pmi = F.log(F.lit(total) * F.col("n_et") / (F.col("n_e") * n_t))
+    counts = counts.withColumns({"rarity": total / F.col("n_e"), "r": n_t / F.col("n_et"), "pmi": pmi})
     disclosing = (
-        counts.withColumn("share", share)
-        .filter((F.col("share") >= GENERALISE) & (F.col("n_et") * pmi > -math.log(CHANCE)))
-        .select("n_e", "h1", "h2", "term", F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised").alias("act"))
+        counts.filter((F.col("rarity") >= _power(F.col("r"), GENERALISE)) & (F.col("n_et") * F.col("pmi") > -math.log(CHANCE)))
+        .select("n_e", "h1", "h2", "term", F.when(F.col("rarity") >= _power(F.col("r"), REMOVE), "removed").otherwise("generalised").alias("act"))
     )
+    disclosing = scratch.keep("disclosing", disclosing)
     acts = pairs.join(disclosing, ["n_e", "h1", "h2", "term"]).groupBy("k", "text_hash", "term")
     acts = acts.agg(F.max("act").alias("act"))  # removed outranks generalised
     terms = (
@@ -191,6 +200,17 @@ def analyse(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return rows.withColumn("k", id_or), checkpoint(terms)
 
 
+def _power(r, k: int):
+    """``r ** k`` by squaring, the same in every engine; for columns and SQL."""
+    mul = (lambda a, b: f"({a}) * ({b})") if isinstance(r, str) else (lambda a, b: a * b)
+    out = None
+    while k:
+        if k & 1:
+            out = r if out is None else mul(out, r)
+        r, k = mul(r, r), k >> 1
+    return out
+
+
 def _all_spans(spans: Column, terms: Column) -> Column:
     base = F.transform(
         spans,
@@ -205,21 +225,23 @@ def _all_spans(spans: Column, terms: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per document: its base spans and all spans, as sorted structs."""
-    scratch = Scratch(docs.sparkSession)
-    rows, terms = analyse(docs, scratch)
-    found = checkpoint(
-        rows.join(terms, ["k", "text_hash"], "left").select("doc_id", "spans", _all_spans(F.col("spans"), F.col("terms")).alias("found"))
-    )
-    scratch.drop()
+    with Scratch(docs.sparkSession) as scratch:
+        rows, terms = analyse(docs, scratch)
+        found = checkpoint(
+            rows.join(terms, ["k", "text_hash"], "left").select("doc_id", "spans", _all_spans(F.col("spans"), F.col("terms")).alias("found"))
+        )
     name = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.filter("found", lambda s: s["rank"] < len(KINDS))
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
+    acted = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id",
         *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
         F.array_join(F.transform(base, name), ",").alias("base"),
         F.array_join(F.transform("found", name), ",").alias("spans"),
         (F.size("found") - F.size("spans")).cast("long").alias("n_terms"),
+        *(acted(kind).alias(f"n_{kind}") for kind in ACTS),
+        F.size("found").cast("long").alias("n_spans"),
     )
 
 
@@ -242,20 +264,76 @@ def mask(text: Column, spans: Column) -> Column:
 
 def sanitise_texts(docs: DataFrame) -> DataFrame:
     """``docs`` with its texts sanitised, other columns unchanged."""
-    scratch = Scratch(docs.sparkSession)
-    rows, terms = analyse(docs, scratch)
-    spans = checkpoint(
-        rows.filter(F.size("spans") > 0)
-        .dropDuplicates(["k", "text_hash"])
-        .join(terms, ["k", "text_hash"], "left")
-        .select(
-            F.col("k").alias("__pii_k"), F.col("text_hash").alias("__pii_h"),
-            _all_spans(F.col("spans"), F.col("terms")).alias("__pii_found"),
+    with Scratch(docs.sparkSession) as scratch:
+        rows, terms = analyse(docs, scratch)
+        spans = checkpoint(
+            rows.filter(F.size("spans") > 0)
+            .dropDuplicates(["k", "text_hash"])
+            .join(terms, ["k", "text_hash"], "left")
+            .select(
+                F.col("k").alias("__pii_k"), F.col("text_hash").alias("__pii_h"),
+                _all_spans(F.col("spans"), F.col("terms")).alias("__pii_found"),
+            )
         )
-    )
-    scratch.drop()
     keyed = docs.withColumns(
         {"__pii_k": F.coalesce(docs["doc_id"], F.lit(-(1 << 63))), "__pii_h": F.xxhash64(text_of())}
     ).join(spans, ["__pii_k", "__pii_h"], "left")
     clean = F.when(F.col("__pii_found").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("__pii_found")))
     return keyed.select(*(clean.alias("text") if c == "text" else keyed[c] for c in docs.columns))
+
+
+#: The kinds' patterns as they are given; SQL needs no guard against going back.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def oracle() -> str:
+    """The same in SQL: spans by fenced splits, counts of every entity and term by plain joins."""
+
+    def pieces(pattern: str, source: str) -> str:
+        cut = f"string_split(regexp_replace(t, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1))"
+        return f"""(SELECT r, x, pos - length(x) AS lo, pos AS hi FROM (
+          SELECT r, x, i, sum(length(x)) OVER (PARTITION BY r ORDER BY i) AS pos FROM (SELECT r, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT r, {cut} AS p FROM {source}))) WHERE i % 2 = 0)"""
+
+    digits = "regexp_replace(x, '[^0-9]', '', 'g')"
+    luhn = f"""list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr({digits}, -i, 1) AS INT)
+      ELSE CAST(substr({digits}, -i, 1) AS INT) * 2 - CASE WHEN CAST(substr({digits}, -i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+    valid = {
+        "email": "TRUE", "ip": r"NOT regexp_matches(x, '(?:^|\.)0*(?:25[6-9]|2[6-9][0-9]|[3-9][0-9][0-9]|[1-9][0-9]{3,})(?:\.|$)')",
+        "card": f"length({digits}) BETWEEN 12 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 9 AND 15",
+    }
+    value = {"email": "lower(x)", "ip": "regexp_replace(x, '[^0-9.]', '', 'g')", "card": digits, "phone": digits}
+    base = " UNION ALL ".join(
+        f"SELECT r, {rank} AS rank, '{kind}' AS kind, lo, hi, '{kind}:' || {value[kind]} AS entity FROM {pieces(PLAIN[kind], 'd')} WHERE {valid[kind]}"
+        for rank, kind in enumerate(KINDS)
+    )
+    named = "string_agg({0}kind || ':' || {0}lo || ':' || {0}hi, ',' ORDER BY {0}lo, {0}rank, {0}hi)"
+    return f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS k, coalesce(text, '') AS t0, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+    base AS MATERIALIZED ({base}),
+    firsts AS (SELECT min(r) AS r FROM d GROUP BY k, t0),
+    owners AS MATERIALIZED (SELECT r, t FROM d WHERE r IN (SELECT r FROM base) AND r IN (SELECT r FROM firsts)),
+    words AS MATERIALIZED (SELECT r, lower(rtrim(x, '.')) AS term, lo, lo + length(rtrim(x, '.')) AS hi FROM {pieces('[\\p{L}\\p{N}@._%+-]+', 'owners')} WHERE regexp_full_match(x, '\\p{{L}}{{3,}}[.]*')),
+    total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
+    holds AS MATERIALIZED (SELECT DISTINCT r, entity FROM base JOIN owners USING (r)),
+    n_e AS (SELECT entity, count(*) AS n_e FROM holds GROUP BY entity HAVING count(*) < (SELECT n FROM total)),
+    n_t AS MATERIALIZED (SELECT term, count(*) AS n_t FROM (SELECT r, unnest(list_distinct(regexp_extract_all(lower(t0), '\\p{{L}}{{3,}}'))) AS term FROM d) GROUP BY term),
+    pairs AS MATERIALIZED (SELECT r, entity, term FROM holds JOIN (SELECT DISTINCT r, term FROM words) USING (r)),
+    counts AS (SELECT entity, term, count(*) AS n_et FROM pairs GROUP BY ALL),
+    scored AS (
+      SELECT entity, term, n_et, n / n_e AS rarity, big / n_et AS ratio, ln(n * n_et / (n_e * big)) AS pmi
+      FROM (SELECT *, CAST(greatest(coalesce(n_t, 1), n_et) AS DOUBLE) AS big FROM counts JOIN n_e USING (entity) LEFT JOIN n_t USING (term)), total),
+    disclosing AS (SELECT entity, term, CASE WHEN rarity >= {_power('ratio', REMOVE)} THEN 'removed' ELSE 'generalised' END AS act
+      FROM scored WHERE rarity >= {_power('ratio', GENERALISE)} AND n_et * pmi > {-math.log(CHANCE)!r}),
+    acts AS (SELECT r, term, max(act) AS act FROM pairs JOIN disclosing USING (entity, term) GROUP BY ALL),
+    found AS (SELECT r, rank, kind, lo, hi FROM base JOIN owners USING (r) UNION ALL SELECT r, {len(KINDS)}, act, lo, hi FROM words JOIN acts USING (r, term)),
+    texts AS (SELECT r, {named.format('')} AS spans, coalesce({named.format('')} FILTER (rank < {len(KINDS)}), '') AS base, count(*) AS n_spans,
+      {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in (*KINDS, *ACTS))} FROM found GROUP BY r),
+    whole AS (SELECT k, t0, texts.* FROM texts JOIN d USING (r))
+    SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in (*KINDS, *ACTS))}, coalesce(n_generalised + n_removed, 0) AS n_terms, coalesce(n_spans, 0) AS n_spans,
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN whole USING (k, t0)"""

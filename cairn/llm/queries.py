@@ -25,7 +25,8 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_terms"
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans",
+        "n_terms", "n_generalised", "n_removed", "n_spans",
     )
 
 
@@ -82,4 +83,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffix_dedup": suffix_dedup.oracle(), "op6_quality_rules": quality_rules.oracle(), "op7_simhash": simhash.oracle(), "op9_kd_sharding": kd_sharding.oracle()}
+    return {"op3_pii": pii.oracle(), "op5_suffix_dedup": suffix_dedup.oracle(), "op6_quality_rules": quality_rules.oracle(), "op7_simhash": simhash.oracle(), "op9_kd_sharding": kd_sharding.oracle()}

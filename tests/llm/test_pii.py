@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,19 @@ def test_terms_that_give_an_entity_away(planted):
     assert clean[100] == "Call about item 0 today with the doctor"
 
 
+def test_terms_and_counts_equal_sql(planted, odd, spark):
+    """The joint counts, PMI and thresholds by plain joins over entities and terms, one by one."""
+    mixed = [(i, f"Word{'abcdefghij'[i % 10]} {'xyz'[i % 3] * 3}.. pre-fix abc{i} u{i % 7}@mail.org see {'klmnop'[i % 6] * 4}, 10.0.0.{i % 5}") for i in range(120)]
+    mixed += [(300 + i, f"see Word{'abcdefghij'[i % 10]} and others {'qrstuvw'[i % 7] * 5}") for i in range(900)]
+    docs = spark.createDataFrame(mixed + mixed[:3], "doc_id long, text string")
+    for rows in (docs, planted, odd, spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")):
+        con = duckdb.connect()
+        con.register("documents", rows.select("doc_id", "text").toArrow())
+        columns = ("doc_id", "spans", "n_terms", "n_generalised", "n_removed", "n_spans", "n_email", "n_phone")
+        want = Counter(con.sql(pii.oracle()).project(", ".join(columns)).fetchall())
+        assert Counter(tuple(r[c] for c in columns) for r in pii.find(rows).collect()) == want
+
+
 def test_a_name_beside_an_address_that_occur_once(spark):
     rows = [(i, f"Call about item number {i} today with the doctor") for i in range(500)]
     rows += [(900, "Call doctor Zebulon at zeb@clinic.org today"), (901, "Call doctor Melchior at mel@clinic.org today")]
