@@ -1,26 +1,30 @@
 """Approximate nearest neighbours: a k-means tree searched best bin first.
 
-The tree is fitted on a sample of at most ``SAMPLE`` vectors; every vector is
-filed under a leaf. A query walks the tree through a priority queue ordered by
-its distance to the nodes' centres, so leaves come nearest first. How many it
-visits is calibrated: ``CALIBRATE`` queries are answered by brute force over
-all vectors, and the visits widen until ``RECALL`` of their true neighbours lie
-in visited leaves. Equal vectors are one entry that carries its smallest ids;
-more could never be among the k nearest.
-
-Leaves are searched in blocks of at most ``LOAD`` vectors by ``LOAD`` queries,
-so a leaf of any size is spread over tasks.
+The top of the tree is fitted on a sample of at most ``SAMPLE`` vectors and
+broadcast; a leaf with more than ``SPLIT`` vectors gets a tree of its own, fitted
+in Spark on about ``INNER`` of its vectors and never sent to the driver. Every
+vector is filed under a leaf of a leaf. A query walks a tree through a priority
+queue ordered by its distance to the nodes' centres, so leaves come nearest first.
+How many it visits is calibrated at either level: ``CALIBRATE`` queries are answered
+by brute force over all vectors, and the visits widen until ``RECALL`` of their true
+neighbours lie in visited leaves. Equal vectors are one entry that carries its
+smallest ids; more could never be among the k nearest.
+
+Leaves are searched in blocks of about ``LOAD`` vectors by ``LOAD`` queries; a leaf
+of any size is spread over tasks, and its vectors are copied as often as its own
+queries ask.
 
 Defined results: vectors that are null, zero, hold a null or non-finite
 component or differ in length from the commonest kind take no part; ties go to
-the smaller id; rows that repeat an id are candidates of their own only if
-their vectors differ; an empty table gives an empty result.
+the smaller id; rows that repeat an id with one vector are one candidate, with
+several vectors they are candidates and queries of their own, and the nearest of
+an id counts; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +33,12 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import checkpoint
 
-SAMPLE, CALIBRATE, RECALL, BRANCH, LEAF, LOAD = 20_000, 128, 0.99, 8, 128, 4096
+SAMPLE, CALIBRATE, RECALL, BRANCH, LEAF, LOAD = 20_000, 128, 0.96, 8, 24, 4096
+#: Vectors above which a leaf is split again, and those that its tree is fitted on.
+SPLIT, INNER = 1024, 2048
 SEED = 42
 
 
-@dataclass
-class Tree:
-    """Node ``i`` has centre ``centres[i]`` and children ``children[i]`` (none: leaf ``leaf[i]``)."""
-
-    centres: np.ndarray
-    children: list[np.ndarray]
-    leaf: np.ndarray
-    leaves: int
-
-
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)]
     own = np.zeros(len(x), dtype=np.int64)
@@ -55,57 +51,63 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return own
 
 
-def fit(x: np.ndarray, leaves: int) -> Tree:
-    """A k-means tree of about ``leaves`` leaves over distinct vectors."""
+def fit(x: np.ndarray, leaves: int) -> dict:
+    """A k-means tree of about ``leaves`` leaves over distinct vectors, as plain arrays.
+
+    Node ``i`` has centre ``centres[i]`` and ``number[i]`` children from ``first[i]``
+    on; without any it is leaf ``leaf[i]``, which got ``rows[leaf[i]]`` of the vectors.
+    """
     rng = np.random.default_rng(SEED)
     most = max(1, -(-len(x) // max(1, leaves)))
-    centres, children, leaf, count = [x.mean(0)], [np.empty(0, np.int64)], [-1], 0
+    centres, first, number, leaf, rows = [x.mean(0)], [0], [0], [-1], []
     work = [(0, np.arange(len(x)))]
     while work:
-        node, rows = work.pop()
-        own = _kmeans(x[rows], min(BRANCH, len(rows)), rng) if len(rows) > most else None
+        node, inside = work.pop()
+        own = _kmeans(x[inside], min(BRANCH, len(inside)), rng) if len(inside) > most else None
         if own is None or (own == own[0]).all():
-            leaf[node], count = count, count + 1
+            leaf[node] = len(rows)
+            rows.append(len(inside))
             continue
-        below = []
+        first[node] = len(centres)
         for j in np.unique(own):
-            centres.append(x[rows[own == j]].mean(0))
-            children.append(np.empty(0, np.int64))
+            work.append((len(centres), inside[own == j]))
+            centres.append(x[inside[own == j]].mean(0))
+            first.append(0)
+            number.append(0)
             leaf.append(-1)
-            below.append(len(centres) - 1)
-            work.append((below[-1], rows[own == j]))
-        children[node] = np.array(below)
-    return Tree(np.array(centres), children, np.array(leaf), count)
+        number[node] = len(centres) - first[node]
+    return {"centres": np.array(centres), "first": np.array(first), "number": np.array(number), "leaf": np.array(leaf), "rows": np.array(rows)}
 
 
-def file_under(tree: Tree, x: np.ndarray) -> np.ndarray:
+def file_under(tree: dict, x: np.ndarray) -> np.ndarray:
     """The leaf of every vector: the nearest child, down the tree."""
     out, work = np.empty(len(x), dtype=np.int64), [(0, np.arange(len(x)))]
     while work:
         node, rows = work.pop()
-        below = tree.children[node]
-        if not len(below):
-            out[rows] = tree.leaf[node]
+        a, n = int(tree["first"][node]), int(tree["number"][node])
+        if not n:
+            out[rows] = tree["leaf"][node]
             continue
-        c = tree.centres[below]
+        c = tree["centres"][a : a + n]
         own = ((c**2).sum(1) - 2 * (x[rows] @ c.T)).argmin(1)
-        work += [(below[j], rows[own == j]) for j in range(len(below)) if (own == j).any()]
+        work += [(a + j, rows[own == j]) for j in range(n) if (own == j).any()]
     return out
 
 
-def best_bins(tree: Tree, q: np.ndarray, visits: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+def best_bins(tree: dict, q: np.ndarray, visits: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
     """The leaves of a query, best bin first: ``visits`` of them and ``least`` rows in all."""
+    centres, first, number, leaf = tree["centres"], tree["first"], tree["number"], tree["leaf"]
     queue, found, held = [(0.0, 0)], [], 0
     while queue and (len(found) < visits or held < least):
         _, node = heapq.heappop(queue)
-        below = tree.children[node]
-        if not len(below):
-            found.append(int(tree.leaf[node]))
+        n = int(number[node])
+        if not n:
+            found.append(int(leaf[node]))
             held += int(rows[found[-1]]) if rows is not None else 0
             continue
-        d = ((tree.centres[below] - q) ** 2).sum(1)
-        for j, child in enumerate(below):
-            heapq.heappush(queue, (float(d[j]), int(child)))
+        a = int(first[node])
+        for j, d in enumerate(((centres[a : a + n] - q) ** 2).sum(1).tolist()):
+            heapq.heappush(queue, (d, a + j))
     return found
 
 
@@ -129,18 +131,41 @@ def nearest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
 
 
 FOUND = "query_id long, vec_id long, score double"
+CELL = ["leaf", "sub"]
+
+
+def _split(filed: DataFrame, counts: DataFrame, dim: int, split: int, leaf: int) -> DataFrame:
+    """``(leaf, tree)`` for every leaf of more than ``split`` vectors."""
+    big = counts.filter(F.col("count") > split)
+    # A hash picks about ``INNER`` vectors of each leaf, so no task holds more, however large the leaf.
+    some = filed.join(big, "leaf").filter(F.pmod(F.xxhash64("v", F.lit(SEED)), F.col("count")) < INNER)
 
+    def one(table: pa.Table) -> pa.Table:
+        x, count = _matrix(table.column("v"), dim), table.column("count")[0].as_py()
+        tree = fit(x, max(1, min(count // leaf, len(x) // 4)))
+        return pa.table({"leaf": pa.array([table.column("leaf")[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
+    return checkpoint(some.select("leaf", "count", "v").groupBy("leaf").applyInArrow(one, "leaf long, tree binary"))
+
+
+def _dealt(rows: DataFrame, trees: DataFrame, load: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` by leaf in parts of about ``load``, and the trees once for each part."""
+    sizes = rows.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / load).cast("int").alias("parts"))
+    sizes = checkpoint(sizes)
+    dealt = rows.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64(rows.columns[0]), F.col("parts")).cast("int")).drop("parts")
+    copies = trees.join(sizes, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt, copies
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, leaf: int = LEAF, split: int = SPLIT, sample: int = SAMPLE) -> DataFrame:
     """The ``k`` nearest found of every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     raw = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     raw = raw.filter(F.col("vec_id").isNotNull() & F.coalesce(whole & F.exists("v", lambda x: x != 0), F.lit(False)))
     shape = raw.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if shape is None:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = shape["n"]
     # -0.0 and 0.0 are one value.
     raw = raw.filter(F.size("v") == dim).withColumn("v", F.transform("v", lambda x: x + 0.0))
@@ -150,10 +175,11 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     entries = checkpoint(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     total = entries.count()
 
-    sample = entries.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toArrow()
-    points = _matrix(sample.column("v"), dim)
-    tree = spark.sparkContext.broadcast(fit(points, max(1, min(total // LEAF, len(points) // 4))))
-    leaves = tree.value.leaves
+    picked = entries.orderBy(F.xxhash64("v")).limit(sample).select("v").toArrow()
+    points = _matrix(picked.column("v"), dim)
+    # Plain arrays, so executors need no copy of this package.
+    tree = spark.sparkContext.broadcast(fit(points, max(1, min(total // leaf, len(points) // 4))))
+    leaves = len(tree.value["rows"])
 
     def file(batches):
         for b in batches:
@@ -161,34 +187,37 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("v"), b.column("ids"), pa.array(own)], ["v", "ids", "leaf"])
 
     filed = checkpoint(entries.mapInArrow(file, "v array<double>, ids array<long>, leaf long"))
-    counts = np.zeros(leaves, dtype=np.int64)
-    for r in filed.groupBy("leaf").count().collect():  # a row a leaf, SAMPLE / 4 at most
-        counts[r["leaf"]] = r["count"]
+    counts = checkpoint(filed.groupBy("leaf").count())
+    held = np.zeros(leaves, dtype=np.int64)
+    for r in counts.collect():  # a row a leaf of the top, sample / 4 at most
+        held[r["leaf"]] = r["count"]
+    trees = _split(filed, counts, dim, split, leaf) if held.max() > split else None
+    cells = _file_inner(filed, trees, dim) if trees is not None else filed.withColumn("sub", F.lit(0).cast("long"))
+    cells = checkpoint(cells) if trees is not None else cells
 
     queries = raw.filter(F.col("vec_id") % every == 0).distinct()
-    visits = _calibrate(filed, queries, tree.value, dim, k)
-    parts = np.maximum(1, -(-counts // LOAD))
+    true, sampled = _true_places(cells, queries, tree.value, dim, k)
+    visits = _quantile([place for _, place, _, _ in true]) + 1
 
     def route(batches):
-        """Each query to every part of every leaf that it visits."""
+        """Each query to every leaf that it visits."""
         for b in batches:
-            ids = b.column("vec_id").to_numpy()
-            row, leaf, part = [], [], []
+            ids, rows, bins = b.column("vec_id").to_numpy(), [], []
             for i, q in enumerate(_matrix(b.column("v"), dim)):
-                for x in best_bins(tree.value, q, visits, counts, 4 * k + 1):
-                    for p in range(int(parts[x])):
-                        row.append(i)
-                        leaf.append(x)
-                        part.append(p)
-            taken = pa.array(row, pa.int64())
+                found = best_bins(tree.value, q, visits, held, 4 * k + 1)
+                rows += [i] * len(found)
+                bins += found
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row], pa.int64()), b.column("v").take(taken), pa.array(leaf, pa.int64()), pa.array(part, pa.int32())],
-                ["query_id", "q", "leaf", "part"],
+                [pa.array(ids[rows], pa.int64()), b.column("v").take(pa.array(rows, pa.int64())), pa.array(bins, pa.int64())], ["query_id", "q", "leaf"]
             )
 
-    routed = queries.mapInArrow(route, "query_id long, q array<double>, leaf long, part int")
-    sizes = spark.createDataFrame([(int(x), int(p)) for x, p in enumerate(parts)], "leaf long, parts int")
-    placed = filed.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    routed = queries.mapInArrow(route, "query_id long, q array<double>, leaf long")
+    if trees is None:
+        routed = routed.withColumn("sub", F.lit(0).cast("long"))
+    else:
+        inner = _inner_visits(sampled, true, visits, trees)
+        routed = _route_inner(routed, trees, dim, inner, 4 * k + 1)
+    routed = checkpoint(routed)
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -209,38 +238,102 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
         a, b, c = zip(*kept)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-    # Queries of one leaf and part are dealt out further, LOAD to a group on average.
-    load = max(1, int(queries.count() * visits / max(1, leaves) / LOAD))
-    routed = routed.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(load)).cast("int"))
-    placed = placed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(load - 1))))
-    found = routed.groupBy("leaf", "part", "deal").cogroup(placed.groupBy("leaf", "part", "deal")).applyInArrow(block, FOUND)
+    # A cell is cut by its own vectors and dealt by its own queries.
+    sizes = cells.groupBy(*CELL).agg(F.count("*").alias("n")).join(routed.groupBy(*CELL).agg(F.count("*").alias("asked")), CELL)
+    cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / LOAD)).cast("int")
+    sizes = checkpoint(sizes.select(*CELL, cut("n").alias("parts"), cut("asked").alias("deals")))
+    placed = cells.join(sizes, CELL).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select(*CELL, "part", "deal", "v", "ids")
+    routed = routed.join(sizes, CELL).withColumn("deal", F.pmod(F.xxhash64("query_id"), F.col("deals")).cast("int"))
+    routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*CELL, "part", "deal", "query_id", "q")
+    key = [*CELL, "part", "deal"]
+    found = routed.groupBy(*key).cogroup(placed.groupBy(*key)).applyInArrow(block, FOUND)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    # An id counts once, at its nearest; every cell has given its k nearest.
     return (
-        found.distinct()
+        found.groupBy("query_id", "vec_id")
+        .agg(F.min("score").alias("score"))
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 
 
-def _calibrate(filed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int) -> int:
-    """Leaves to visit so that ``RECALL`` of the true neighbours of a few queries are met."""
+def _file_inner(filed: DataFrame, trees: DataFrame, dim: int) -> DataFrame:
+    """``filed`` with the leaf within its leaf, ``sub``; 0 where the leaf has no tree."""
+    big = filed.join(trees.select("leaf"), "leaf", "left_semi")
+    rows, copies = _dealt(big.select("v", "ids", "leaf"), trees, LOAD)
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        tree = pickle.loads(right.column("tree")[0].as_py())
+        return left.select(["v", "ids", "leaf"]).append_column("sub", pa.array(file_under(tree, _matrix(left.column("v"), dim)), pa.int64()))
+
+    inner = rows.groupBy("leaf", "part").cogroup(copies.groupBy("leaf", "part")).applyInArrow(one, "v array<double>, ids array<long>, leaf long, sub long")
+    small = filed.join(trees.select("leaf"), "leaf", "left_anti").select("v", "ids", "leaf", F.lit(0).cast("long").alias("sub"))
+    return inner.unionByName(small)
+
+
+def _route_inner(routed: DataFrame, trees: DataFrame, dim: int, visits: int, least: int) -> DataFrame:
+    """``routed`` with every leaf within its leaf that a query visits."""
+    big = routed.join(trees.select("leaf"), "leaf", "left_semi").select("query_id", "q", "leaf")
+    rows, copies = _dealt(big, trees, LOAD)
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        tree, at, subs = pickle.loads(right.column("tree")[0].as_py()), [], []
+        for i, q in enumerate(_matrix(left.column("q"), dim)):
+            # The vectors that the tree was fitted on lie in its leaves, so these hold ``least`` at least.
+            found = best_bins(tree, q, visits, tree["rows"], least)
+            at += [i] * len(found)
+            subs += found
+        return left.select(["query_id", "q", "leaf"]).take(pa.array(at, pa.int64())).append_column("sub", pa.array(subs, pa.int64()))
+
+    inner = rows.groupBy("leaf", "part").cogroup(copies.groupBy("leaf", "part")).applyInArrow(one, "query_id long, q array<double>, leaf long, sub long")
+    small = routed.join(trees.select("leaf"), "leaf", "left_anti").select("query_id", "q", "leaf", F.lit(0).cast("long").alias("sub"))
+    return inner.unionByName(small)
+
+
+def _true_places(cells: DataFrame, queries: DataFrame, tree: dict, dim: int, k: int) -> tuple[list[tuple], np.ndarray]:
+    """For a few queries, (query, place of the leaf in its order, leaf, sub) of each true neighbour; and the queries."""
     some = queries.orderBy(F.xxhash64("vec_id")).limit(CALIBRATE).select("v").toArrow()
     if not some.num_rows:
-        return 1
+        return [], np.empty((0, dim))
     q = _matrix(some.column("v"), dim)
 
     def scan(batches):
         for b in batches:
             if b.num_rows:
                 i, j, d = nearest(q, _matrix(b.column("v"), dim), k + 1)
-                leaf = b.column("leaf").to_numpy()[j]
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(leaf), pa.array(d)], ["i", "leaf", "d"])
-
-    near = filed.mapInArrow(scan, "i long, leaf long, d double")
-    by = Window.partitionBy("i").orderBy("d", "leaf")
-    rows = near.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1).collect()
-    order = [best_bins(tree, x, tree.leaves) for x in q]
-    place = [{leaf: n for n, leaf in enumerate(o)} for o in order]
-    ranks = sorted(place[r["i"]][r["leaf"]] for r in rows)
-    return ranks[min(len(ranks) - 1, int(RECALL * len(ranks)))] + 1
+                leaf, sub = (b.column(c).to_numpy()[j] for c in CELL)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(leaf), pa.array(sub), pa.array(d)], ["i", "leaf", "sub", "d"])
+
+    near = cells.select("v", *CELL).mapInArrow(scan, "i long, leaf long, sub long, d double")
+    by = Window.partitionBy("i").orderBy("d", "leaf", "sub")
+    rows = near.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1).collect()  # k + 1 a query
+    leaves = len(tree["rows"])
+    place = [{leaf: n for n, leaf in enumerate(best_bins(tree, x, leaves))} for x in q]
+    return [(r["i"], place[r["i"]][r["leaf"]], r["leaf"], r["sub"]) for r in rows], q
+
+
+def _quantile(ranks: list[int]) -> int:
+    """The rank up to which ``RECALL`` of all lie."""
+    ranks = sorted(ranks) or [0]
+    return ranks[min(len(ranks) - 1, int(RECALL * len(ranks)))]
+
+
+def _inner_visits(q: np.ndarray, true: list[tuple], visits: int, trees: DataFrame) -> int:
+    """Leaves to visit within a leaf so that ``RECALL`` of the true neighbours in visited leaves are met."""
+    wanted: dict[int, list[tuple[int, int]]] = {}
+    for i, place, leaf, sub in true:
+        if place < visits:
+            wanted.setdefault(leaf, []).append((i, sub))
+
+    def one(table: pa.Table) -> pa.Table:
+        tree, out = pickle.loads(table.column("tree")[0].as_py()), []
+        for i, sub in wanted.get(table.column("leaf")[0].as_py(), ()):
+            out.append(best_bins(tree, q[i], len(tree["rows"])).index(sub))
+        return pa.table({"place": pa.array(out, pa.int64())})
+
+    if not wanted:
+        return 1
+    asked = trees.filter(F.col("leaf").isin(list(wanted)))
+    return _quantile([r["place"] for r in asked.groupBy("leaf").applyInArrow(one, "place long").collect()]) + 1

