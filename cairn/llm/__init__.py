@@ -2,11 +2,3 @@
 
 Nothing outside this folder (and ``corpus_pipeline.py``) imports it.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions that run on executors travel by value, so executors need no copy
-# of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -77,9 +77,17 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch holds, however long single texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
+    """Bound what one Arrow batch holds, by rows and by bytes.
+
+    The limits belong to the session and are read when a frame runs, which is
+    after an operator has returned it, so they stay; they only ever go down.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if now is not None and not (now.lstrip("-").isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def worker_cache() -> dict:

@@ -7,12 +7,17 @@ fewer documents it has. Prior strengths are fitted by moments from the spread
 between sites. A document's posterior log-odds are its own evidence plus what
 its path's posterior adds to the corpus's.
 
+A source is a URL or a name: its host is what stands before the first slash, its
+path the first part after it. A source without a path falls back to the language,
+so documents of one language on a host form a site.
+
 The classifier is fitted on at most ``TRAIN`` labelled documents, those with the
 smallest hashed ids; a fifth of them set its scale. All other statistics cover
 every document.
 
-Defined results: a null or empty text has the evidence of no words; a null
-source is a host of its own; labels without a document, null labels and repeated
+Defined results: a null or empty text has the evidence of no words, texts are read
+whole, however long; a null source is a host of its own; of rows that share a
+labelled id the smallest text is learned from; labels without a document, null labels and repeated
 labels (the largest counts) do no harm; without labels of both kinds a score
 is 0.5 for quality and 0 for toxicity, so nothing is rejected; an empty table gives
 an empty result; other columns are never read.
@@ -27,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import checkpoint, small_batches, text_of, worker_cache
+from cairn.llm.common import checkpoint, fits, small_batches, text_of, worker_cache
 
 TRAIN, BITS, ROUNDS, RIDGE = 6_000, 16, 100, 1e-4
 SHAPES = ("symbols", "distinct", "length", "word_length", "digits", "upper", "marks")
@@ -41,8 +46,6 @@ PRIOR = 20.0
 #: Documents are toxic from this posterior on.
 TOXIC = 0.2
 UPPER = bytes(range(65, 91))
-#: Tables of sites are broadcast up to this many rows, else joined by shuffle.
-BROADCAST_ROWS = 200_000
 
 
 class Buckets(dict):
@@ -168,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> np.ndarray:
 
     # ``known`` has at most ``most`` rows of three numbers.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    got = texts.join(F.broadcast(known), "doc_id").select("doc_id", "quality", "toxic", "text").mapInArrow(run, schema)
+    got = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", *TARGETS).agg(F.min("text").alias("text")).mapInArrow(run, schema)
     table = got.toArrow().sort_by("doc_id")
     out = np.zeros((len(TARGETS), WIDTH + 1))
     out[1, -1] = -20.0
@@ -244,7 +247,8 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> DataFrame
         sums += [F.sum(p).alias(f"p_{t}"), F.sum(p * p).alias(f"p_{t}2")]
     paths = checkpoint(scored.groupBy("host", "path").agg(*sums))
     total = [F.sum(c).alias(c) for c in paths.columns[2:]]
-    hosts = paths.groupBy("host").agg(*total)
+    # Kept before the joins, so that the join of a large host's paths can be split.
+    hosts = checkpoint(paths.groupBy("host").agg(*total))
     whole = paths.agg(*total).first()
     mean = {t: whole[f"p_{t}"] / whole["n"] if whole["n"] else 0.5 for t in TARGETS}
     strong = {t: (_strength(hosts, f"p_{t}", mean[t]), _strength(paths, f"p_{t}", mean[t])) for t in TARGETS}
@@ -258,7 +262,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> DataFrame
         *(shrunk(F.col(f"host_{t}"), strong[t][1], t).alias(f"path_{t}") for t in TARGETS),
     )
     sites = checkpoint(sites)
-    if sites.count() <= BROADCAST_ROWS:
+    if fits(sites, "host", "path"):
         sites = F.broadcast(sites)
     post = {t: _sigmoid(F.col(f"z_{t}") + _logit(F.col(f"path_{t}")) - _logit(F.lit(mean[t]))) for t in TARGETS}
     joined = scored.join(sites, ["host", "path"]).withColumns({f"{t}_probability": post[t] for t in TARGETS})

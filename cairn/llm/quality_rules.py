@@ -5,7 +5,7 @@ compiles ``RULES`` into a single boolean expression over them.
 
 Defined results: a null or empty text has no words, so every count is 0,
 ``base_failed`` is true and ``kept`` false. Repeated rows each give their own
-row; an empty table gives an empty result; other columns are left alone, and
+row; an empty table gives an empty result; no text is too long; other columns are left alone, and
 internal columns carry the prefix ``__qr_``.
 """
 
@@ -43,7 +43,7 @@ class Rule:
 
 #: The threshold table. Ratios follow widely published web-text filters.
 RULES = (
-    Rule("n_words", low=10, high=1_000_000, from_words=0),
+    Rule("n_words", low=10, from_words=0),
     Rule("mean_word_chars", low=2, high=15),
     Rule("symbols_per_word", high=0.1),
     Rule("stop_word_ratio", low=0.01, from_words=50),
@@ -192,7 +192,7 @@ def oracle() -> str:
       FROM w LEFT JOIN s USING (r)),
     b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop, base_failed,
-           NOT base_failed AND n_words BETWEEN 10 AND 1000000
+           NOT base_failed AND n_words >= 10
            AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 15
            AND n_symbols / greatest(n_words, 1) <= 0.1
            AND (n_words < 50 OR n_stop / greatest(n_words, 1) >= 0.01)
