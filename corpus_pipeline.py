@@ -1,7 +1,14 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again by its caller.
 
 Every function takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but
-the last return the columns of ``docs``.
+the last return the columns of ``docs``, whatever further ones there are.
+
+Defined results: a null, empty or word-free text is rejected by the first stage;
+of documents of one near-duplicate group the smallest id stays, of rows that repeat
+id and text one, and null ids come after all others; a character that a removed
+passage cuts into goes with it; a text without personal data is not changed by the
+fourth stage; a text that lost everything is packed as the end id alone; texts are
+read whole, however long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,13 +60,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    The last of these tables stays there, as the result reads it; a failure leaves none.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.keep(name, docs)
-            if k:
-                scratch.drop(STAGES[k - 1][0])
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = scratch.keep(name, docs)
+                if k:
+                    scratch.drop(STAGES[k - 1][0])
+    except BaseException:
+        scratch.drop()
+        raise
     return docs
