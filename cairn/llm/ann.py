@@ -10,9 +10,10 @@ by brute force over all vectors, and the visits widen until ``RECALL`` of their
 neighbours lie in visited leaves. Equal vectors are one entry that carries its
 smallest ids; more could never be among the k nearest.
 
-Leaves are searched in blocks of about ``LOAD`` vectors by ``LOAD`` queries; a leaf
-of any size is spread over tasks, and its vectors are copied as often as its own
-queries ask.
+Leaves next to each other in the tree make up cells of about ``LOAD`` vectors, and a
+query goes to a cell once, with the leaves that it visits there. Cells are cut by
+their own vectors and dealt out by their own queries, so one of any size is spread
+over tasks and copied no oftener than it is asked for.
 
 Defined results: vectors that are null, zero, hold a null or non-finite
 component or differ in length from the commonest kind take no part; ties go to
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import checkpoint
 
-SAMPLE, CALIBRATE, RECALL, BRANCH, LEAF, LOAD = 20_000, 128, 0.96, 8, 24, 4096
+SAMPLE, CALIBRATE, RECALL, BRANCH, LOAD = 20_000, 128, 0.95, 8, 4096
+#: Leaves of a tree to the root of the number of its vectors.
+LEAVES = 4
 #: Vectors above which a leaf is split again, and those that its tree is fitted on.
-SPLIT, INNER = 1024, 2048
+SPLIT, INNER = 4096, 2048
 SEED = 42
 
 
@@ -117,24 +120,37 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def nearest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, distance) of the k nearest vectors and all that tie with the last."""
+    """(query row, vector row, distance) of the k nearest vectors and all that tie with the last.
+
+    Products find the candidates, with room for rounding; differences measure them.
+    """
     a, b, c = [], [], []
-    step = max(1, (1 << 22) // max(1, x.size))
-    for s in range(0, len(q), step):
-        d = np.sqrt(((q[s : s + step, None, :] - x[None]) ** 2).sum(2))
-        last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-        i, j = np.nonzero(d <= last[:, None])
-        a.append(i + s)
-        b.append(j)
-        c.append(d[i, j])
+    k, squares = min(k, len(x)), (x**2).sum(1)
+    for s in range(0, len(q), max(1, (1 << 20) // max(1, len(x)))):
+        part = q[s : s + max(1, (1 << 20) // max(1, len(x)))]
+        own = (part**2).sum(1)[:, None]
+        d = own + squares - 2 * (part @ x.T)
+        last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        i, j = np.nonzero(d <= last + 1e-12 * (own + squares.max()))
+        exact = np.sqrt(((part[i] - x[j]) ** 2).sum(1))
+        # Rows come in order, so each query's candidates are a run; those up to its k-th are left.
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        kth = np.array([np.partition(e, k - 1)[k - 1] for e in np.split(exact, starts[1:])])
+        near = exact <= kth[np.cumsum(np.r_[False, i[1:] != i[:-1]])]
+        a.append(i[near] + s)
+        b.append(j[near])
+        c.append(exact[near])
     return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
 
 FOUND = "query_id long, vec_id long, score double"
-CELL = ["leaf", "sub"]
+ROUTED = "query_id long, q array<double>, cell long, bins array<long>, leaf long"
+FILED = "v array<double>, ids array<long>, leaf long, cell long, bin long"
+#: The cells of a leaf that is split are numbered from here on.
+WITHIN = 1 << 20
 
 
-def _split(filed: DataFrame, counts: DataFrame, dim: int, split: int, leaf: int) -> DataFrame:
+def _split(filed: DataFrame, counts: DataFrame, dim: int, split: int) -> DataFrame:
     """``(leaf, tree)`` for every leaf of more than ``split`` vectors."""
     big = counts.filter(F.col("count") > split)
     # A hash picks about ``INNER`` vectors of each leaf, so no task holds more, however large the leaf.
@@ -142,7 +158,8 @@ def _split(filed: DataFrame, counts: DataFrame, dim: int, split: int, leaf: int)
 
     def one(table: pa.Table) -> pa.Table:
         x, count = _matrix(table.column("v"), dim), table.column("count")[0].as_py()
-        tree = fit(x, max(1, min(count // leaf, len(x) // 4)))
+        tree = fit(x, max(1, min(int(LEAVES * count**0.5), len(x) // 4)))
+        tree["cells"] = np.arange(len(tree["rows"])) * max(1, -(-count // LOAD)) // len(tree["rows"])
         return pa.table({"leaf": pa.array([table.column("leaf")[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     return checkpoint(some.select("leaf", "count", "v").groupBy("leaf").applyInArrow(one, "leaf long, tree binary"))
@@ -157,7 +174,7 @@ def _dealt(rows: DataFrame, trees: DataFrame, load: int) -> tuple[DataFrame, Dat
     return dealt, copies
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, leaf: int = LEAF, split: int = SPLIT, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, split: int = SPLIT, sample: int = SAMPLE) -> DataFrame:
     """The ``k`` nearest found of every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     raw = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
@@ -178,7 +195,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, leaf: int = LEAF,
     picked = entries.orderBy(F.xxhash64("v")).limit(sample).select("v").toArrow()
     points = _matrix(picked.column("v"), dim)
     # Plain arrays, so executors need no copy of this package.
-    tree = spark.sparkContext.broadcast(fit(points, max(1, min(total // leaf, len(points) // 4))))
+    tree = spark.sparkContext.broadcast(fit(points, max(1, min(int(LEAVES * total**0.5), len(points) // 4))))
     leaves = len(tree.value["rows"])
 
     def file(batches):
@@ -191,41 +208,60 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, leaf: int = LEAF,
     held = np.zeros(leaves, dtype=np.int64)
     for r in counts.collect():  # a row a leaf of the top, sample / 4 at most
         held[r["leaf"]] = r["count"]
-    trees = _split(filed, counts, dim, split, leaf) if held.max() > split else None
-    cells = _file_inner(filed, trees, dim) if trees is not None else filed.withColumn("sub", F.lit(0).cast("long"))
-    cells = checkpoint(cells) if trees is not None else cells
+    trees = _split(filed, counts, dim, split) if held.max() > split else None
+    # Leaves are numbered down the tree, so those of a cell are near each other.
+    whole = np.where(held > split, 0, held)
+    cell = (np.cumsum(whole) - whole) // LOAD
+    numbers = spark.createDataFrame([(n, int(c)) for n, c in enumerate(cell)], "leaf long, cell long")
+    cells = filed.join(F.broadcast(numbers), "leaf").select("v", "ids", "leaf", "cell", F.col("leaf").alias("bin"))
+    if trees is not None:
+        cells = checkpoint(_file_inner(cells, trees, dim))
 
     queries = raw.filter(F.col("vec_id") % every == 0).distinct()
     true, sampled = _true_places(cells, queries, tree.value, dim, k)
     visits = _quantile([place for _, place, _, _ in true]) + 1
 
     def route(batches):
-        """Each query to every leaf that it visits."""
+        """Each query to every cell that it visits, and to every leaf with a tree of its own."""
         for b in batches:
-            ids, rows, bins = b.column("vec_id").to_numpy(), [], []
+            rows, at, bins, split_leaf = [], [], [], []
             for i, q in enumerate(_matrix(b.column("v"), dim)):
-                found = best_bins(tree.value, q, visits, held, 4 * k + 1)
-                rows += [i] * len(found)
-                bins += found
+                by: dict[int, list[int]] = {}
+                for leaf in best_bins(tree.value, q, visits, held, 4 * k + 1):
+                    if held[leaf] > split:
+                        rows.append(i), at.append(None), bins.append([]), split_leaf.append(leaf)
+                    else:
+                        by.setdefault(int(cell[leaf]), []).append(leaf)
+                for c, leaves in by.items():
+                    rows.append(i), at.append(c), bins.append(leaves), split_leaf.append(None)
+            taken = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows], pa.int64()), b.column("v").take(pa.array(rows, pa.int64())), pa.array(bins, pa.int64())], ["query_id", "q", "leaf"]
+                [b.column("vec_id").take(taken), b.column("v").take(taken), pa.array(at, pa.int64()), pa.array(bins, pa.list_(pa.int64())), pa.array(split_leaf, pa.int64())],
+                ["query_id", "q", "cell", "bins", "leaf"],
             )
 
-    routed = queries.mapInArrow(route, "query_id long, q array<double>, leaf long")
-    if trees is None:
-        routed = routed.withColumn("sub", F.lit(0).cast("long"))
-    else:
-        inner = _inner_visits(sampled, true, visits, trees)
-        routed = _route_inner(routed, trees, dim, inner, 4 * k + 1)
-    routed = checkpoint(routed)
+    routed = checkpoint(queries.mapInArrow(route, ROUTED))
+    if trees is not None:
+        routed = checkpoint(_route_inner(routed, trees, dim, _inner_visits(sampled, true, visits, trees), 4 * k + 1))
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return none
         names, ids = left.column("query_id").to_numpy(), right.column("ids").to_pylist()
-        i, j, d = nearest(_matrix(left.column("q"), dim), _matrix(right.column("v"), dim), k + 1)
-        out = [(names[a], v, s) for a, b, s in zip(i, j, d) for v in ids[b] if v != names[a]]
+        q, x, own = _matrix(left.column("q"), dim), _matrix(right.column("v"), dim), right.column("bin").to_numpy()
+        asked: dict[int, list[int]] = {}
+        for row, bins in enumerate(left.column("bins").to_pylist()):
+            for n in bins:
+                asked.setdefault(n, []).append(row)
+        order = np.argsort(own, kind="stable")
+        kinds, starts = np.unique(own[order], return_index=True)
+        out = []
+        for n, rows in zip(kinds.tolist(), np.split(order, starts[1:])):
+            if n in asked:
+                who = np.array(asked[n])
+                i, j, d = nearest(q[who], x[rows], k + 1)
+                out += [(names[who[a]], v, s) for a, b, s in zip(i.tolist(), rows[j].tolist(), d.tolist()) for v in ids[b] if v != names[who[a]]]
         out.sort(key=lambda x: (x[0], x[2], x[1]))
         kept, last, n = [], None, 0
         for x in out:
@@ -239,14 +275,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, leaf: int = LEAF,
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
     # A cell is cut by its own vectors and dealt by its own queries.
-    sizes = cells.groupBy(*CELL).agg(F.count("*").alias("n")).join(routed.groupBy(*CELL).agg(F.count("*").alias("asked")), CELL)
-    cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / LOAD)).cast("int")
-    sizes = checkpoint(sizes.select(*CELL, cut("n").alias("parts"), cut("asked").alias("deals")))
-    placed = cells.join(sizes, CELL).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select(*CELL, "part", "deal", "v", "ids")
-    routed = routed.join(sizes, CELL).withColumn("deal", F.pmod(F.xxhash64("query_id"), F.col("deals")).cast("int"))
-    routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*CELL, "part", "deal", "query_id", "q")
-    key = [*CELL, "part", "deal"]
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).join(routed.groupBy("cell").agg(F.count("*").alias("asked")), "cell")
+    cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / (4 * LOAD))).cast("int")
+    sizes = checkpoint(sizes.select("cell", cut("n").alias("parts"), cut("asked").alias("deals")))
+    placed = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("cell", "part", "deal", "v", "ids", "bin")
+    routed = routed.join(sizes, "cell").withColumn("deal", F.pmod(F.xxhash64("query_id"), F.col("deals")).cast("int"))
+    routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", "deal", "query_id", "q", "bins")
+    key = ["cell", "part", "deal"]
     found = routed.groupBy(*key).cogroup(placed.groupBy(*key)).applyInArrow(block, FOUND)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     # An id counts once, at its nearest; every cell has given its k nearest.
@@ -260,40 +296,44 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, leaf: int = LEAF,
 
 
 def _file_inner(filed: DataFrame, trees: DataFrame, dim: int) -> DataFrame:
-    """``filed`` with the leaf within its leaf, ``sub``; 0 where the leaf has no tree."""
-    big = filed.join(trees.select("leaf"), "leaf", "left_semi")
-    rows, copies = _dealt(big.select("v", "ids", "leaf"), trees, LOAD)
+    """``filed`` with cell and bin by the tree of their leaf, where it has one."""
+    big = filed.join(trees.select("leaf"), "leaf", "left_semi").select("v", "ids", "leaf")
+    rows, copies = _dealt(big, trees, LOAD)
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         tree = pickle.loads(right.column("tree")[0].as_py())
-        return left.select(["v", "ids", "leaf"]).append_column("sub", pa.array(file_under(tree, _matrix(left.column("v"), dim)), pa.int64()))
+        own = file_under(tree, _matrix(left.column("v"), dim))
+        cell = (left.column("leaf").to_numpy() + 1) * WITHIN + tree["cells"][own]
+        return left.select(["v", "ids", "leaf"]).append_column("cell", pa.array(cell, pa.int64())).append_column("bin", pa.array(own, pa.int64()))
 
-    inner = rows.groupBy("leaf", "part").cogroup(copies.groupBy("leaf", "part")).applyInArrow(one, "v array<double>, ids array<long>, leaf long, sub long")
-    small = filed.join(trees.select("leaf"), "leaf", "left_anti").select("v", "ids", "leaf", F.lit(0).cast("long").alias("sub"))
-    return inner.unionByName(small)
+    inner = rows.groupBy("leaf", "part").cogroup(copies.groupBy("leaf", "part")).applyInArrow(one, FILED)
+    return inner.unionByName(filed.join(trees.select("leaf"), "leaf", "left_anti"))
 
 
 def _route_inner(routed: DataFrame, trees: DataFrame, dim: int, visits: int, least: int) -> DataFrame:
-    """``routed`` with every leaf within its leaf that a query visits."""
-    big = routed.join(trees.select("leaf"), "leaf", "left_semi").select("query_id", "q", "leaf")
-    rows, copies = _dealt(big, trees, LOAD)
+    """``routed`` with the cells and bins that a query visits within leaves that have a tree."""
+    rows, copies = _dealt(routed.filter("cell is null").select("query_id", "q", "leaf"), trees, LOAD)
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree, at, subs = pickle.loads(right.column("tree")[0].as_py()), [], []
+        tree, leaf = pickle.loads(right.column("tree")[0].as_py()), right.column("leaf")[0].as_py()
+        at, cells, bins = [], [], []
         for i, q in enumerate(_matrix(left.column("q"), dim)):
+            by: dict[int, list[int]] = {}
             # The vectors that the tree was fitted on lie in its leaves, so these hold ``least`` at least.
-            found = best_bins(tree, q, visits, tree["rows"], least)
-            at += [i] * len(found)
-            subs += found
-        return left.select(["query_id", "q", "leaf"]).take(pa.array(at, pa.int64())).append_column("sub", pa.array(subs, pa.int64()))
+            for own in best_bins(tree, q, visits, tree["rows"], least):
+                by.setdefault(int(tree["cells"][own]), []).append(own)
+            for cell, found in by.items():
+                at.append(i), cells.append((leaf + 1) * WITHIN + cell), bins.append(found)
+        taken = left.select(["query_id", "q"]).take(pa.array(at, pa.int64()))
+        taken = taken.append_column("cell", pa.array(cells, pa.int64())).append_column("bins", pa.array(bins, pa.list_(pa.int64())))
+        return taken.append_column("leaf", pa.array([leaf] * len(at), pa.int64()))
 
-    inner = rows.groupBy("leaf", "part").cogroup(copies.groupBy("leaf", "part")).applyInArrow(one, "query_id long, q array<double>, leaf long, sub long")
-    small = routed.join(trees.select("leaf"), "leaf", "left_anti").select("query_id", "q", "leaf", F.lit(0).cast("long").alias("sub"))
-    return inner.unionByName(small)
+    inner = rows.groupBy("leaf", "part").cogroup(copies.groupBy("leaf", "part")).applyInArrow(one, ROUTED)
+    return inner.unionByName(routed.filter("cell is not null"))
 
 
 def _true_places(cells: DataFrame, queries: DataFrame, tree: dict, dim: int, k: int) -> tuple[list[tuple], np.ndarray]:
-    """For a few queries, (query, place of the leaf in its order, leaf, sub) of each true neighbour; and the queries."""
+    """For a few queries, (query, place of the leaf in its order, leaf, bin) of each true neighbour; and the queries."""
     some = queries.orderBy(F.xxhash64("vec_id")).limit(CALIBRATE).select("v").toArrow()
     if not some.num_rows:
         return [], np.empty((0, dim))
@@ -303,15 +343,15 @@ def _true_places(cells: DataFrame, queries: DataFrame, tree: dict, dim: int, k:
         for b in batches:
             if b.num_rows:
                 i, j, d = nearest(q, _matrix(b.column("v"), dim), k + 1)
-                leaf, sub = (b.column(c).to_numpy()[j] for c in CELL)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(leaf), pa.array(sub), pa.array(d)], ["i", "leaf", "sub", "d"])
+                leaf, own = (b.column(c).to_numpy()[j] for c in ("leaf", "bin"))
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(leaf), pa.array(own), pa.array(d)], ["i", "leaf", "bin", "d"])
 
-    near = cells.select("v", *CELL).mapInArrow(scan, "i long, leaf long, sub long, d double")
-    by = Window.partitionBy("i").orderBy("d", "leaf", "sub")
+    near = cells.select("v", "leaf", "bin").mapInArrow(scan, "i long, leaf long, bin long, d double")
+    by = Window.partitionBy("i").orderBy("d", "leaf", "bin")
     rows = near.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1).collect()  # k + 1 a query
     leaves = len(tree["rows"])
     place = [{leaf: n for n, leaf in enumerate(best_bins(tree, x, leaves))} for x in q]
-    return [(r["i"], place[r["i"]][r["leaf"]], r["leaf"], r["sub"]) for r in rows], q
+    return [(r["i"], place[r["i"]][r["leaf"]], r["leaf"], r["bin"]) for r in rows], q
 
 
 def _quantile(ranks: list[int]) -> int:

@@ -43,14 +43,14 @@ def test_leaves_are_split_in_spark(spark):
     centres = rng.normal(size=(12, 8)) * 4
     rows = [(i, (centres[i % 12] + rng.normal(size=8)).tolist()) for i in range(4000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got, want = found(ann.search(df, leaf=16, split=100, sample=160)), brute(rows)
+    got, want = found(ann.search(df, split=100, sample=160)), brute(rows)
     assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
     assert recall(got, want) >= 0.9
 
 
 def test_few_leaves_are_visited():
     vectors = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").to_pylist())
-    tree = ann.fit(vectors, len(vectors) // ann.LEAF)
+    tree = ann.fit(vectors, int(ann.LEAVES * len(vectors) ** 0.5))
     own = ann.file_under(tree, vectors)
     ranks, queries = [], vectors[::20]
     for q in queries:
