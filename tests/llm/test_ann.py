@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pyarrow.parquet as pq
 
@@ -78,3 +83,22 @@ def test_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 1.0), (1, [0.0, 1.0], 1.0), (2, [1.0, 1.0], 1.0)], schema)
     assert [j for _, j in found(ann.search(few))[0]] == [2, 1]
     assert ann.search(spark.createDataFrame([], schema)).count() == 0
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+for name in sys.argv[3:]:
+    assert e.queries()[name](spark, sys.argv[2]).count(), name
+"""
+
+
+def test_executors_need_no_copy_of_the_package(sf, tmp_path):
+    (tmp_path / "run.py").write_text(ELSEWHERE)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" or "tokenizers" in v}
+    command = [sys.executable, "run.py", str(Path(__file__).parents[2]), sf, "op2_ann", "op8_html_text", "op10_byte_bpe"]
+    done = subprocess.run(command, cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
