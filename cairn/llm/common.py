@@ -85,9 +85,10 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) ->
     """
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key, None)
-        if now is not None and not (now.lstrip("-").isdigit() and 0 < int(now) <= most):
-            spark.conf.set(key, str(most))
+        if spark.conf.isModifiable(key):
+            now = spark.conf.get(key).rstrip("b")
+            if not (now.isdigit() and 0 < int(now) <= most):
+                spark.conf.set(key, str(most))
 
 
 def worker_cache() -> dict:
